@@ -1,0 +1,5 @@
+"""Deliberately empty: every KPI job is a batch job over bounded tables.
+
+The nearest things to stream operators (as-of source health, the feedback cut-off,
+tumbling period means) live with the batch operators in ``causeway.operators``.
+"""
