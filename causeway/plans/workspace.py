@@ -11,10 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.operators import decompose as D
+from causeway.operators import evidence as E
+from causeway.operators import lags as L
 from causeway.operators import mart as M
 from causeway.operators import series as S
 from causeway.session import tune, write_layer
-from causeway.sources.contracts import load_contracts, load_playbook, load_policy
+from causeway.sources.contracts import driver_dim, load_contracts, load_playbook, load_policy
 from causeway.sources.testbed import Testbed
 
 
@@ -68,6 +70,37 @@ class Workspace:
     def decomposed(self) -> DataFrame:
         return write_layer(D.relative_change(D.decompose(self.sides)), "decomposition")
 
+    @cached_property
+    def drivers(self) -> DataFrame:
+        return driver_dim(self.spark, self.contracts)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return L.cluster(S.pair_rows(self.windows, self.contracts))
+
+    @cached_property
+    def periods(self) -> DataFrame:
+        return L.period_means(self.pairs)
+
+    @cached_property
+    def lag_correlations(self) -> DataFrame:
+        most = max(d.steps for c in self.contracts.values() for d in c.drivers)
+        return L.lag_correlations(self.periods, most)
+
+    @cached_property
+    def lags(self) -> DataFrame:
+        return L.best_lags(self.lag_correlations)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """Written once: the model, the scores and the audits all start here."""
+        return write_layer(E.signals(E.profiles(self.pairs), self.lags, self.drivers), "signals")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Evidence with the correlation model, so that every figure can be restated in SQL."""
+        return write_layer(E.weights(E.score(self.signals, E.correlation_model(self.signals))), "evidence")
+
     @cached_property
     def impacts(self) -> DataFrame:
         return D.component_impacts(self.decomposed)

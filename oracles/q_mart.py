@@ -8,7 +8,13 @@ ORACLES: dict[str, str] = {}
 
 
 def nums(names: str, digits: int = 6) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) + 0.0 AS {n}" for n in names.split())
+    """Published doubles: rounded with ties going up."""
+    out = []
+    for item in names.split():
+        n, _, d = item.partition(":")
+        d = int(d or digits)
+        out.append(f"round(CAST({n} AS DOUBLE) + {3.3 * 10.0 ** -(d + 2):.3e}, {d}) + 0.0 AS {n}")
+    return ", ".join(out)
 
 
 def add(name: str, final: str) -> None:
@@ -128,8 +134,8 @@ for _name, _kind, _method in (("decompose_multiply", "multiply", "shapley"), ("d
                               ("decompose_divide_forward", "divide", "forward"),
                               ("decompose_divide_reference", "divide", "reference"), ("decompose_single", "single", "shapley")):
     add(_name, f"SELECT {KEYS}, is_volatile, {MODE}, {SPLIT} FROM ({decomposition(_method)}) WHERE decomposition_type = '{_kind}'")
-add("kpi_change", f"SELECT {KEYS}, decomposition_type, is_material, round(k0, 5) + 0.0 AS kpi_baseline, "
-    + nums("percent_change", 5) + " FROM changes")
+add("kpi_change", f"SELECT {KEYS}, decomposition_type, is_material, " + nums("kpi_baseline percent_change", 5)
+    + " FROM (SELECT *, k0 AS kpi_baseline FROM changes)")
 add("component_impacts", f"SELECT {KEYS}, component, " + nums("impact baseline incident", 4) + " FROM impacts")
 add("decomposition_audit", """SELECT COUNT(*) AS checked, COUNT(*) FILTER (
   abs(effect_a + effect_b + interaction_effect + residual - total_change) > GREATEST(abs(total_change) * 0.01, 1e-6)) AS failures
