@@ -1 +1,34 @@
-"""placeholder"""
+"""Queries over the fitted kernels; these have no SQL restatement."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from causeway.plans.catalog import query, show
+from causeway.plans.workspace import Workspace
+
+PAIR = "kpi region window_start component driver"
+
+
+@query
+def changepoints(w: Workspace) -> DataFrame:
+    return show(w.changepoints, "kpi region changepoint_date method",
+                "segment_mean_before segment_mean_after shift_magnitude", 4)
+
+
+@query
+def stationarity(w: Workspace) -> DataFrame:
+    return w.model.select(*PAIR.split(), "driver_differenced", "component_differenced")
+
+
+@query
+def component_model(w: Workspace) -> DataFrame:
+    return show(w.model, f"{PAIR} model_status n_observations validity_method is_significant",
+                "historical_coefficient holdout_r2 p_value coefficient_stability alpha", 5)
+
+
+@query
+def driver_evidence(w: Workspace) -> DataFrame:
+    """Evidence of every detected changepoint, with the fitted model."""
+    return show(w.detected.evidence, f"{PAIR} evidence_mode model_status direction_consistency is_significant "
+                "best_lag_days", "evidence_score normalized_score softmax_probability", 5)

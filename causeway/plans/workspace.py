@@ -9,18 +9,28 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from causeway.operators import decompose as D
 from causeway.operators import evidence as E
 from causeway.operators import lags as L
 from causeway.operators import mart as M
 from causeway.operators import series as S
+from causeway.operators.changepoints import detect
+from causeway.operators.model import fitted_model
 from causeway.session import tune, write_layer
 from causeway.sources.contracts import driver_dim, load_contracts, load_playbook, load_policy
 from causeway.sources.testbed import Testbed
 
 
 class Workspace:
+    """All layers over one folder.
+
+    Incidents are the largest yearly shifts and evidence uses the correlation model, which
+    SQL can restate; ``detected`` is the same run over the detected changepoints with the
+    fitted model.
+    """
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark = tune(spark)
         self.facts = Testbed(spark, path)
@@ -96,10 +106,28 @@ class Workspace:
         """Written once: the model, the scores and the audits all start here."""
         return write_layer(E.signals(E.profiles(self.pairs), self.lags, self.drivers), "signals")
 
+    @cached_property
+    def correlation_model(self) -> DataFrame:
+        return E.correlation_model(self.signals)
+
+    @cached_property
+    def model(self) -> DataFrame:
+        return write_layer(fitted_model(self.signals), "model")
+
+    def relationship(self) -> DataFrame:
+        return self.correlation_model
+
     @cached_property
     def evidence(self) -> DataFrame:
-        """Evidence with the correlation model, so that every figure can be restated in SQL."""
-        return write_layer(E.weights(E.score(self.signals, E.correlation_model(self.signals))), "evidence")
+        return write_layer(E.weights(E.score(self.signals, self.relationship())), "evidence")
+
+    @cached_property
+    def changepoints(self) -> DataFrame:
+        return write_layer(detect(self.series, self.mart, self.contracts), "changepoints")
+
+    @cached_property
+    def detected(self) -> DetectedRun:
+        return DetectedRun(self)
 
     @cached_property
     def impacts(self) -> DataFrame:
@@ -107,6 +135,21 @@ class Workspace:
 
 
 
+class DetectedRun(Workspace):
+    """The full run: incidents are detected changepoints and evidence uses the fitted model."""
+
+    def __init__(self, base: Workspace):
+        self.__dict__.update(spark=base.spark, facts=base.facts, contracts=base.contracts, policy=base.policy,
+                             playbook=base.playbook, mart=base.mart, changepoints=base.changepoints)
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        return self.changepoints.select("kpi", "region", F.col("changepoint_date").alias("window_start"))
+
+    def relationship(self) -> DataFrame:
+        return self.model
+
+
 _OPEN: dict[tuple[str, str], Workspace] = {}
 
 
