@@ -6,20 +6,26 @@ stays a lazy DataFrame.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import action as A
+from causeway.operators import decision as C
 from causeway.operators import decompose as D
 from causeway.operators import evidence as E
+from causeway.operators import feedback as B
+from causeway.operators import health as H
 from causeway.operators import lags as L
 from causeway.operators import mart as M
 from causeway.operators import series as S
 from causeway.operators.changepoints import detect
 from causeway.operators.model import fitted_model
 from causeway.session import tune, write_layer
-from causeway.sources.contracts import driver_dim, load_contracts, load_playbook, load_policy
+from causeway.sources.contracts import (
+    driver_dim, driver_names, load_contracts, load_playbook, load_policy, playbook_dim, source_dim)
 from causeway.sources.testbed import Testbed
 
 
@@ -37,6 +43,7 @@ class Workspace:
         self.contracts = load_contracts()
         self.policy = load_policy()
         self.playbook = load_playbook()
+        self.cutoff = dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
 
     @cached_property
     def mart_plan(self) -> DataFrame:
@@ -121,6 +128,45 @@ class Workspace:
     def evidence(self) -> DataFrame:
         return write_layer(E.weights(E.score(self.signals, self.relationship())), "evidence")
 
+    @cached_property
+    def playbook_rows(self) -> DataFrame:
+        return playbook_dim(self.spark, self.playbook, driver_names(self.contracts))
+
+    @cached_property
+    def required(self) -> DataFrame:
+        return H.required_sources(self.incidents, H.dependencies(self.drivers, source_dim(self.spark)))
+
+    @cached_property
+    def health_as_of(self) -> DataFrame:
+        return H.health_as_of(self.required, self.health)
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return write_layer(self.facts.source_health, "health")
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return H.verdict(H.graded(self.health_as_of))
+
+    @cached_property
+    def packets(self) -> DataFrame:
+        return write_layer(C.packets(self.decomposed, self.impacts, self.evidence, self.verdicts), "packets")
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """Action context before external evidence."""
+        return write_layer(A.action_context(self.packets, self.evidence, self.impacts, self.playbook_rows), "actions")
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        patterns = [(c.kpi, d.name, level) for c in self.contracts.values() for d in c.drivers
+                    for level in ("act", "validate", "validate_unexplained")]
+        return self.facts.feedback(patterns)
+
+    @cached_property
+    def calibration(self) -> DataFrame:
+        return B.calibration(self.actions, self.feedback, self.cutoff)
+
     @cached_property
     def changepoints(self) -> DataFrame:
         return write_layer(detect(self.series, self.mart, self.contracts), "changepoints")
@@ -140,7 +186,8 @@ class DetectedRun(Workspace):
 
     def __init__(self, base: Workspace):
         self.__dict__.update(spark=base.spark, facts=base.facts, contracts=base.contracts, policy=base.policy,
-                             playbook=base.playbook, mart=base.mart, changepoints=base.changepoints)
+                             playbook=base.playbook, cutoff=base.cutoff,
+                             health=base.health, mart=base.mart, changepoints=base.changepoints)
 
     @cached_property
     def incidents(self) -> DataFrame:

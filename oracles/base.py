@@ -95,10 +95,10 @@ CTE["customer_success"] = """
   FROM placed GROUP BY 1, 2"""
 
 CTE["feed_days"] = """
-  SELECT 'sales' AS source_name, sale_date AS health_date, region, COUNT(*) AS n, 5 AS expected, 24 AS cadence
+  SELECT 'sales' AS source_name, sale_date AS health_date, region, COUNT(*) AS n, 3 AS expected, 24 AS cadence
   FROM sales GROUP BY sale_date, region
-  UNION ALL SELECT 'marketing', activity_date, region, COUNT(*), 3, 24 FROM marketing GROUP BY activity_date, region
-  UNION ALL SELECT 'customer_success', activity_date, region, active_customers, 3, 24 FROM customer_success
+  UNION ALL SELECT 'marketing', activity_date, region, COUNT(*), 1, 24 FROM marketing GROUP BY activity_date, region
+  UNION ALL SELECT 'customer_success', activity_date, region, active_customers, 1, 24 FROM customer_success
   UNION ALL SELECT 'market_context', week_start, region, 1, 1, 168 FROM market_context"""
 
 CTE["source_health"] = """
