@@ -43,6 +43,7 @@ def profiles(pairs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(history, F.struct(F.col("metric_date").alias("d"), "x", "y"))))
         .alias("history_rows"),
         F.collect_list(F.when(incident, F.col("metric_date"))).alias("targets"),
+        F.count(F.when(history & F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n_pairs"),
         F.count(seen).alias("n_x"), F.avg(seen).alias("mean_x"), F.median(seen).alias("median_x"),
         F.coalesce(F.stddev_pop(seen), F.lit(0.0)).alias("history_std"))
 
@@ -133,8 +134,8 @@ def required_rows(n_drivers: Column) -> Column:
 
 
 def model_sufficiency(signal: DataFrame) -> DataFrame:
-    """Sample-size gate per (incident, component) on the smallest overlap of its drivers."""
-    return signal.groupBy(*GROUP).agg(F.min("overlap").alias("observed"), F.count("*").alias("n_drivers")) \
+    """Sample-size gate per (incident, component) on the fewest complete history rows of its drivers."""
+    return signal.groupBy(*GROUP).agg(F.min("n_pairs").alias("observed"), F.count("*").alias("n_drivers")) \
         .withColumn("required", required_rows(F.col("n_drivers"))) \
         .withColumn("model_status", F.when(F.col("observed") >= F.col("required"), "fitted")
                     .otherwise("insufficient_history"))

@@ -13,19 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import action as A
+from causeway.operators import bundle as U
+from causeway.operators import corpus as K
 from causeway.operators import decision as C
 from causeway.operators import decompose as D
 from causeway.operators import evidence as E
+from causeway.operators import external as X
 from causeway.operators import feedback as B
+from causeway.operators import fusion as Z
 from causeway.operators import health as H
 from causeway.operators import lags as L
 from causeway.operators import mart as M
 from causeway.operators import series as S
 from causeway.operators.changepoints import detect
 from causeway.operators.model import fitted_model
+from causeway.operators.narrative import narrate
+from causeway.operators.series import INCIDENT
 from causeway.session import tune, write_layer
 from causeway.sources.contracts import (
-    driver_dim, driver_names, load_contracts, load_playbook, load_policy, playbook_dim, source_dim)
+    driver_dim, driver_names, load_contracts, load_playbook, load_policy, playbook_dim,
+    policy_dim, source_dim)
 from causeway.sources.testbed import Testbed
 
 
@@ -167,6 +174,126 @@ class Workspace:
     def calibration(self) -> DataFrame:
         return B.calibration(self.actions, self.feedback, self.cutoff)
 
+    # External evidence.
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        """Named anchors for the test tables: per region the first title word of one of its pages."""
+        first = self.facts.table("pages").select((F.col("page_id") % 5).alias("rk"), "page_id", "html").groupBy("rk").agg(
+            F.min(F.struct("page_id", "html")).alias("p"))
+        word = F.regexp_extract(F.lower("p.html"), "<title>[^a-z]*([a-z]+)", 1)
+        named = first.join(self.facts.table("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")),
+                           "rk").select("region", word.alias("value"))
+        return self.incidents.filter(F.year("window_start") % 2 == 1).join(named, "region").select(
+            *INCIDENT, F.lit("competitor_name").alias("key"), "value")
+
+    @cached_property
+    def policy_rows(self) -> DataFrame:
+        return policy_dim(self.spark, self.policy, driver_names(self.contracts))
+
+    @cached_property
+    def pools(self) -> DataFrame:
+        return write_layer(X.pool(self.actions, self.evidence, self.policy_rows, self.anchors), "pools")
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        return X.gate(self.packets, self.actions, self.pools)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return X.candidates(self.pools)
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        return X.contexts(self.packets, self.chosen)
+
+    @cached_property
+    def all_plans(self) -> DataFrame:
+        return write_layer(X.plans(self.contexts), "plans")
+
+    @cached_property
+    def plans(self) -> DataFrame:
+        """Plans of the incidents that need clarification."""
+        return self.all_plans.join(self.gates.filter("clarification_needed").select(*INCIDENT), INCIDENT, "left_semi")
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """Pages as a corpus. The test pages name no place, so each is given the region and event word of its id."""
+        place = self.facts.table("region").select(F.col("r_regionkey").cast("bigint").alias("rk"), "r_name")
+        event = F.element_at(F.array(*[F.lit(x) for x in ("storm", "rainfall", "price", "notice")]),
+                             (F.col("doc_id") % 4 + 1).cast("int"))
+        pages = K.page_corpus(self.facts.table("pages")).withColumn("rk", F.col("doc_id") % 5).join(place, "rk")
+        return write_layer(pages.withColumn("body", F.concat_ws(" ", "body", "r_name", event)).drop("rk", "r_name"), "corpus")
+
+    @cached_property
+    def web_plans(self) -> DataFrame:
+        return self.plans.filter("retrieval_target = 'web' AND retrieval_query IS NOT NULL")
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """Retrieved sources per incident."""
+        asked = self.web_plans.select(*INCIDENT, F.col("retrieval_query").alias("query"), F.coalesce(
+            X.named_region(), F.try_element_at("anchors", F.lit(1))["value"]).alias("anchor"))
+        found = K.search(self.corpus, asked)
+        return write_layer(asked.join(found, F.col("query") == F.col("search")).select(
+            *INCIDENT, F.col("search_rank").alias("source_index"), "doc_id", "query", F.col("title").alias("source_title"),
+            "source_url", F.col("body").alias("retrieved_text")), "sources")
+
+    @cached_property
+    def hypotheses(self) -> DataFrame:
+        return self.web_plans.select(*INCIDENT, F.explode("candidates").alias("c")).select(
+            *INCIDENT, F.col("c.name").alias("hypothesis"), F.col("c.component").alias("component"))
+
+    @cached_property
+    def raw_assessments(self) -> DataFrame:
+        """Test assessments made from ids: some repeated, some out of range, some unknown, some absent."""
+        names = self.hypotheses.select(*INCIDENT, "hypothesis").unionByName(
+            self.web_plans.select(*INCIDENT, F.lit("unknown_driver").alias("hypothesis")))
+        size = F.length("hypothesis")
+        rows = self.sources.select(*INCIDENT, "source_index", "doc_id").join(names, INCIDENT) \
+            .filter((F.col("doc_id") + size) % 5 != 0)
+        two = rows.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+        return two.withColumn("support", ((F.col("doc_id") * 7 + size + F.col("seq")) % 40) / 20.0 - 0.75) \
+                  .withColumn("confidence", ((F.col("doc_id") + size + F.col("seq")) % 13) / 10.0) \
+                  .withColumn("reason", F.lit("word overlap"))
+
+    @cached_property
+    def assessments(self) -> DataFrame:
+        clean = Z.clean_assessments(self.raw_assessments, self.sources, self.hypotheses)
+        return Z.complete(clean, self.sources, self.hypotheses)
+
+    @cached_property
+    def supports(self) -> DataFrame:
+        return write_layer(Z.support(self.assessments).join(self.hypotheses, [*INCIDENT, "hypothesis"]), "supports")
+
+    @cached_property
+    def fused(self) -> DataFrame:
+        return write_layer(Z.fuse(self.evidence, self.supports.withColumnRenamed("hypothesis", "driver")), "fused")
+
+    @cached_property
+    def final_actions(self) -> DataFrame:
+        """Action context after the weights were fused."""
+        return write_layer(A.action_context(self.packets, self.fused, self.impacts, self.playbook_rows), "final-actions")
+
+    @cached_property
+    def final_calibration(self) -> DataFrame:
+        return B.calibration(self.final_actions, self.feedback, self.cutoff)
+
+    @cached_property
+    def retrieved(self) -> DataFrame:
+        return self.sources.join(self.assessments, [*INCIDENT, "source_index"])
+
+    @cached_property
+    def narration(self) -> DataFrame:
+        counts = self.retrieved.groupBy(*INCIDENT).agg(F.count("*").alias("n_retrieved"))
+        return narrate(self.packets, self.final_actions, counts)
+
+    @cached_property
+    def bundles(self) -> DataFrame:
+        told = B.attach(A.as_struct(self.final_actions), self.final_calibration)
+        return write_layer(U.bundles(self.packets, self.impacts, self.fused, told, self.plans, self.retrieved,
+                                     self.narration), "bundles")
+
     @cached_property
     def changepoints(self) -> DataFrame:
         return write_layer(detect(self.series, self.mart, self.contracts), "changepoints")
@@ -187,7 +314,7 @@ class DetectedRun(Workspace):
     def __init__(self, base: Workspace):
         self.__dict__.update(spark=base.spark, facts=base.facts, contracts=base.contracts, policy=base.policy,
                              playbook=base.playbook, cutoff=base.cutoff,
-                             health=base.health, mart=base.mart, changepoints=base.changepoints)
+                             health=base.health, corpus=base.corpus, mart=base.mart, changepoints=base.changepoints)
 
     @cached_property
     def incidents(self) -> DataFrame:

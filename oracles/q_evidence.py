@@ -60,7 +60,7 @@ CTE["lag_choice"] = f"""
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {P} ORDER BY k DESC) AS rn FROM lag_fold) WHERE rn = 1"""
 
 CTE["hist_stats"] = f"""
-  SELECT {P}, AVG(x) AS mean_x, stddev_pop(x) AS std_x, median(x) AS med_x, COUNT(x) AS n_x,
+  SELECT {P}, AVG(x) AS mean_x, stddev_pop(x) AS std_x, median(x) AS med_x, COUNT(x) AS n_x, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_pairs,
          AVG(CASE WHEN rx <= 30 THEN x END) AS tail_x, AVG(CASE WHEN ry <= 30 THEN y END) AS tail_y
   FROM (SELECT *, CASE WHEN x IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY {P}, x IS NULL ORDER BY metric_date DESC) END AS rx,
                CASE WHEN y IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY {P}, y IS NULL ORDER BY metric_date DESC) END AS ry
@@ -78,7 +78,7 @@ CTE["moved"] = f"""
 CTE["comp_now"] = f"SELECT {P}, AVG(y) AS level_y FROM pair_days WHERE role = 'incident' GROUP BY ALL"
 
 CTE["sig0"] = f"""
-  SELECT a.*, b.best_lag_days, b.historical_lag_correlation, b.overlap, COALESCE(s.n_x, 0) AS n_x,
+  SELECT a.*, b.best_lag_days, b.historical_lag_correlation, b.overlap, COALESCE(s.n_x, 0) AS n_x, COALESCE(s.n_pairs, 0) AS n_pairs,
          COALESCE(s.tail_x, 0.0) AS baseline_value, COALESCE(s.tail_y, 0.0) AS component_baseline,
          COALESCE(m.level_x, 0.0) AS incident_value, COALESCE(m.aligned_rows, 0) AS aligned_rows,
          COALESCE(c.level_y, 0.0) AS component_incident, COALESCE(s.std_x, 0.0) AS history_std,
@@ -108,7 +108,7 @@ CTE["sig"] = f"""
 CTE["gate"] = f"""
   SELECT *, GREATEST(30, 10 * n_drivers) AS required,
          CASE WHEN observed >= GREATEST(30, 10 * n_drivers) THEN 'fitted' ELSE 'insufficient_history' END AS fit
-  FROM (SELECT {G}, MIN(overlap) AS observed, COUNT(*) AS n_drivers FROM sig GROUP BY ALL)"""
+  FROM (SELECT {G}, MIN(n_pairs) AS observed, COUNT(*) AS n_drivers FROM sig GROUP BY ALL)"""
 
 CTE["ev0"] = f"""
   SELECT *, CASE WHEN is_break THEN 'structural_break' WHEN fit = 'fitted' THEN 'historical_relationship'
