@@ -24,7 +24,7 @@ def finite_doubles(df: DataFrame) -> DataFrame:
 
 def ranked_drivers(evidence: DataFrame) -> DataFrame:
     """Drivers of an incident by fused weight, as one short array."""
-    fields = [c for c in evidence.columns if c not in (*INCIDENT, "ordinal")]
+    fields = [c for c in evidence.columns if c not in INCIDENT]
     cell = F.struct((-F.round("fused_probability", 9)).alias("o"), F.col("component").alias("c"), "ordinal",
                     F.struct(*fields).alias("row"))
     return finite_doubles(evidence).groupBy(*INCIDENT).agg(
