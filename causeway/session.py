@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # A join on (incident, component, driver) may reuse a layout hashed on
     # (incident, component) instead of shuffling both sides again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # The action context is one wide projection; keep its text out of the listener's heap.
+    "spark.sql.maxPlanStringLength": "50000",
+    "spark.sql.ui.explainMode": "simple",
 }
 
 
