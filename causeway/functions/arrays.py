@@ -1,4 +1,4 @@
-"""Statistics over short arrays held in one row (at most one incident window)."""
+"""Statistics over short arrays held in one row (at most one incident window), and correlation."""
 
 from __future__ import annotations
 
@@ -29,3 +29,11 @@ def std(a: Column) -> Column:
 
 def last(a: Column, n: int) -> Column:
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate correlation of two columns that are NULL together; NULL when either is constant.
+
+    The built-in corr divides by the product of the spreads and fails on a constant side in ANSI mode.
+    """
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

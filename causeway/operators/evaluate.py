@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from causeway.functions.arrays import pearson
 from causeway.functions.wording import JARGON, mentions
 from causeway.operators import external as X
 from causeway.operators.decision import weight_order
@@ -86,7 +87,7 @@ def rank_cases(truth: DataFrame, ranks: DataFrame, evidence: DataFrame) -> DataF
         F.coalesce(F.lit(1.0) / F.min(F.when(common, F.col("position"))), F.lit(0.0)).alias("reciprocal_rank"),
         F.count_if(common).alias("n_common"), F.min(F.when(common, r)).alias("r0"), F.max(F.when(common, r)).alias("r1"),
         F.min(F.when(common, F.col("average_rank"))).alias("a0"), F.max(F.when(common, F.col("average_rank"))).alias("a1"),
-        F.corr(F.when(common, r.cast("double")), F.when(common, F.col("average_rank"))).alias("c"),
+        pearson(F.when(common, r.cast("double")), F.when(common, F.col("average_rank"))).alias("c"),
     ).filter("n_observed > 0").withColumn("spearman", F.when(
         (F.col("n_common") >= 2) & (F.col("r0") < F.col("r1")) & (F.col("a0") < F.col("a1")), F.col("c"))) \
         .select("scenario_id", "top1", "recall_at_2", "reciprocal_rank", "spearman")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from causeway.functions.arrays import pearson
 from causeway.operators.mart import week_of
 from causeway.operators.series import INCIDENT
 
@@ -55,7 +56,7 @@ def lag_correlations(periods: DataFrame, most_steps: int) -> DataFrame:
         F.greatest(F.lit(MIN_COARSE_PERIODS), F.ceil(F.lit(MIN_OVERLAP) / F.col("cadence"))))
     return (
         rows.groupBy(*PAIR, "k", "cadence").agg(
-            F.count(x).alias("overlap"), F.corr(x, y).alias("r"),
+            F.count(x).alias("overlap"), pearson(x, y).alias("r"),
             F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
         .select(*PAIR, "k", (F.col("k") * F.col("cadence")).alias("lag_days"), "overlap",
                 F.when((F.col("overlap") >= needed) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
