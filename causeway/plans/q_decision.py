@@ -102,5 +102,5 @@ def feedback_dispositions(w: Workspace) -> DataFrame:
 @query
 def feedback_calibration(w: Workspace) -> DataFrame:
     return show(w.calibration, f"{KEYS} applied sample_count same_region_count reason",
-                "effective_sample_size weighted_mean:5 reliability:5 adjustment:5 base_readiness_score "
-                "adjusted_readiness_score:5")
+                "effective_sample_size weighted_mean reliability adjustment base_readiness_score "
+                "adjusted_readiness_score")

@@ -101,7 +101,7 @@ def decision_cases(w: Workspace) -> DataFrame:
 
 @query
 def calibration_cards(w: Workspace) -> DataFrame:
-    return show(V.calibration_cards(w.bundles), f"{KEYS} sample_count", "adjustment:5 adjusted_readiness_score:5")
+    return show(V.calibration_cards(w.bundles), f"{KEYS} sample_count", "adjustment adjusted_readiness_score")
 
 
 @query
@@ -128,7 +128,7 @@ def narratives(w: Workspace) -> DataFrame:
 @query
 def refresh_feedback(w: Workspace) -> DataFrame:
     fresh = R.refresh_feedback(w.bundles, w.feedback, w.cutoff)
-    return show(V.calibration_cards(fresh), f"{KEYS} sample_count", "adjustment:5 adjusted_readiness_score:5")
+    return show(V.calibration_cards(fresh), f"{KEYS} sample_count", "adjustment adjusted_readiness_score")
 
 
 @query

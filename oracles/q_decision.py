@@ -183,5 +183,5 @@ CTE["calibrated"] = f"""
               WHEN n_rows > 0 THEN 'Historical feedback rows were present but contained no valid dispositions.'
               ELSE 'No eligible historical feedback exists for this decision pattern.' END AS reason FROM fsum"""
 add("feedback_calibration", f"SELECT {K}, applied, sample_count, same_region_count, reason, "
-    + nums("effective_sample_size weighted_mean:5 reliability:5 adjustment:5 base_readiness_score adjusted_readiness_score:5")
+    + nums("effective_sample_size weighted_mean reliability adjustment base_readiness_score adjusted_readiness_score")
     + " FROM calibrated")

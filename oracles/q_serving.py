@@ -95,7 +95,7 @@ add("artifact_counts", " UNION ALL ".join(
 add("dashboard_frames", " UNION ALL ".join(
     f"SELECT '{n}' AS frame, COUNT(*) AS n FROM {t} WHERE kpi = 'revenue' AND region = 'ASIA'" for n, t in _FRAMES.items()))
 add("decision_cases", f"SELECT {K}, primary_driver, action_level FROM f_action WHERE primary_driver IS NOT NULL")
-CARDS = f"""SELECT {K}, sample_count, {nums('adjustment:5 adjusted_readiness_score:5')} FROM f_calibrated c
+CARDS = f"""SELECT {K}, sample_count, {nums('adjustment adjusted_readiness_score')} FROM f_calibrated c
   WHERE window_start = (SELECT MAX(window_start) FROM f_calibrated x WHERE x.kpi = c.kpi AND x.region = c.region)"""
 add("calibration_cards", CARDS)
 add("refresh_feedback", CARDS)
