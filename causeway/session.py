@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.ui.explainMode": "simple",
 }
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "causeway", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -45,9 +47,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="causeway-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="causeway-")
+    return _LOCAL_ROOTS[app]
 
 
 def write_layer(df: DataFrame, name: str) -> DataFrame:

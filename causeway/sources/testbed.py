@@ -1,6 +1,6 @@
 """Adapter: the order-processing test tables expressed as the raw fact schema.
 
-Money is summed as DECIMAL so that sums do not depend on row order. Nothing here
+Money is summed exactly, as whole cents, so that sums do not depend on row order. Nothing here
 is broadcast by hand: Spark decides from measured sizes.
 """
 
@@ -18,8 +18,14 @@ REORDER_PER_LINE = 25
 EXPECTED_ROWS = {"sales": 3, "marketing": 1, "customer_success": 1, "market_context": 1}
 
 
-def money(name: str):
-    return F.col(name).cast("decimal(14,2)")
+def scaled(name: str, unit: int):
+    """A two- or four-digit figure as a whole number of 1/unit, so that sums stay in long arithmetic."""
+    return F.rint(F.col(name) * unit).cast("bigint")
+
+
+def money(total, unit: str):
+    """A whole-number total back as an exact DECIMAL."""
+    return total.cast("decimal(20,0)") * F.lit(unit).cast("decimal(8,8)")
 
 
 @dataclass
@@ -51,7 +57,7 @@ class Testbed:
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size",
             F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
-        rate = F.col("l_discount").cast("decimal(5,4)")
+        rate = scaled("l_discount", 10_000)
         return (
             self.table("lineitem").join(where, "l_orderkey").join(part, "l_partkey")
             .groupBy(F.to_date("l_shipdate").alias("sale_date"), "region", F.col("p_brand").alias("product_id"))
@@ -59,8 +65,8 @@ class Testbed:
                 F.sum(F.col("l_quantity").cast("bigint")).alias("units_sold"),
                 F.max("price").alias("list_price"),
                 F.min("price").alias("unit_cost"),
-                F.max(rate).alias("discount_pct"),
-                F.sum(money("l_extendedprice") * (F.lit(1).cast("decimal(5,4)") - rate)).alias("net_revenue"),
+                money(F.max(rate), "0.0001").cast("decimal(5,4)").alias("discount_pct"),
+                money(F.sum(scaled("l_extendedprice", 100) * (10_000 - rate)), "0.000001").alias("net_revenue"),
                 F.sum(F.col("p_size").cast("bigint")).alias("inventory_units"),
                 (F.count("*") * REORDER_PER_LINE).alias("reorder_point"),
                 F.max("l_shipdate").alias("source_loaded_at"),
@@ -74,7 +80,7 @@ class Testbed:
         placed = (
             orders.groupBy(F.col("day").alias("activity_date"), "region", F.col("o_orderpriority").alias("channel"))
             .agg(
-                (F.sum(money("o_totalprice")) * F.lit("0.05").cast("decimal(3,2)")).alias("spend"),
+                money(F.sum(scaled("o_totalprice", 100)) * 5, "0.0001").alias("spend"),
                 (F.count("*") * 20).alias("impressions"),
                 F.sum(1 + F.col("o_orderkey") % 7).alias("sessions"),
                 F.count("*").alias("orders"),
@@ -104,7 +110,7 @@ class Testbed:
             self.placed_orders
             .groupBy(F.to_date(F.date_trunc("week", F.col("day"))).alias("week_start"), "region")
             .agg(
-                (F.sum(money("o_totalprice")).cast("double") / F.count("*") / F.lit(PRICE_BASE))
+                (money(F.sum(scaled("o_totalprice", 100)), "0.01").cast("double") / F.count("*") / F.lit(PRICE_BASE))
                 .alias("competitor_price_index"),
                 (F.lit(0.8) + slow).alias("weather_index"),
                 F.when(urgent > 0.3, "ambiguous_local_event").alias("event_type"),
