@@ -174,10 +174,10 @@ CTE["fsum"] = f"""
   FROM action a LEFT JOIN feedback f ON f.kpi = a.kpi AND f.primary_driver = a.primary_driver AND f.action_level = a.action_level
    AND NOT f.is_demo AND f.created_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL"""
 CTE["calibrated"] = f"""
-  SELECT *, w AS effective_sample_size, sample_count > 0 AS applied, CASE WHEN w > 0 THEN s / w ELSE 0.0 END AS weighted_mean,
-         CASE WHEN w > 0 THEN w / (w + 5.0) ELSE 0.0 END AS reliability,
-         CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END AS adjustment, {READY} AS base_readiness_score,
-         {READY} + CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END AS adjusted_readiness_score,
+  SELECT *, w AS effective_sample_size, sample_count > 0 AS applied, round(CASE WHEN w > 0 THEN s / w ELSE 0.0 END, 6) AS weighted_mean,
+         round(CASE WHEN w > 0 THEN w / (w + 5.0) ELSE 0.0 END, 6) AS reliability,
+         round(CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END, 6) AS adjustment, {READY} AS base_readiness_score,
+         {READY} + round(CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END, 6) AS adjusted_readiness_score,
          CASE WHEN primary_driver IS NULL THEN 'No primary driver/action level is available for feedback matching.'
               WHEN sample_count > 0 THEN 'Bounded historical user-feedback calibration applied downstream of deterministic RCA.'
               WHEN n_rows > 0 THEN 'Historical feedback rows were present but contained no valid dispositions.'
