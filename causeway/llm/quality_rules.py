@@ -84,17 +84,17 @@ def host_rates(failures: DataFrame) -> DataFrame:
     hosts less what counting alone would give; hosts that differ by no more than that share the
     strongest prior, ``1000`` documents. ``failures``: rows (host, failed).
     """
-    hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
+    hosts = write_layer(failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")), "quality-hosts")
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.avg(raw).alias("m"),
-                      F.avg(raw * raw).alias("m2"), F.avg(1 / F.col("n")).alias("inverse"))
-    spread = F.col("m2") - F.col("m") * F.col("m")
-    chance = F.col("m") * (1 - F.col("m"))
-    between = (spread - chance * F.col("inverse")) / (1 - F.col("inverse"))
-    strength = F.when((between > 1e-12) & (F.col("inverse") < 1), F.least(F.lit(1000.0), F.greatest(chance / between - 1, F.lit(1.0)))).otherwise(1000.0)
-    prior = prior.select("m", strength.alias("strength"), F.lit(1).alias("_one"))
-    return (hosts.withColumn("_one", F.lit(1)).join(prior, "_one")
-            .select("host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate")))
+    seen = hosts.agg(F.avg(raw).alias("m"), F.avg(raw * raw).alias("m2"), F.avg(1 / F.col("n")).alias("inverse")).first()
+    mean, strength = seen["m"] or 0.0, 1000.0
+    if seen["inverse"] is not None and seen["inverse"] < 1:
+        chance = mean * (1 - mean)
+        between = (seen["m2"] - mean * mean - chance * seen["inverse"]) / (1 - seen["inverse"])
+        if between > 1e-12:
+            strength = min(1000.0, max(chance / between - 1, 1.0))
+    rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    return hosts.select("host", "n", "failed", rate.alias("rate"))
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
