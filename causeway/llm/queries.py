@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontamination, mixing, near_dedup, quality_rules, substring_dedup
+from causeway.llm import decontamination, language_model, mixing, near_dedup, quality_rules, substring_dedup
 from causeway.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches that stay small where rows are long texts or packed counts."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return spark
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), sf_dir)
+        return fn(prepared(spark), sf_dir)
     QUERIES[fn.__name__] = run
     return run
 
@@ -39,6 +45,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(found)
 
 
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
