@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import decontamination, language_model, mixing, near_dedup, quality_rules, substring_dedup
+from causeway.llm import decontamination, language_id, language_model, mixing, near_dedup, quality_rules, substring_dedup, toxicity
 from causeway.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain low quality, toxic, toxic and of low quality; a document is toxic from one half on."""
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1,
+                  "toxic_low_quality": (F.col("toxic") == 1) & (F.col("quality") == 0)}
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), categories)
+    scored = toxicity.score(docs, chain, list(categories))
+    return scored.select("doc_id", *[f"p_{c}" for c in categories], F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
