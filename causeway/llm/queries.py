@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontamination, language_id, language_model, mixing, near_dedup, quality_rules, substring_dedup, toxicity
+from causeway.llm import decontamination, html_text, language_id, language_model, license_scan, mixing, near_dedup, quality_rules, substring_dedup, toxicity
 from causeway.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,13 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain low quality, toxic, toxic and of low quality; a document is toxic from one half on."""
+    """The chain low quality, toxic, toxic and of low quality; a document is toxic from the chain's threshold on."""
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1,
                   "toxic_low_quality": (F.col("toxic") == 1) & (F.col("quality") == 0)}
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), categories)
+    threshold = next((link.threshold for link in chain if link.name == "toxic"), 1.0)
     scored = toxicity.score(docs, chain, list(categories))
-    return scored.select("doc_id", *[f"p_{c}" for c in categories], F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", *[f"p_{c}" for c in categories], F.col("p_toxic").alias("score"), (F.col("p_toxic") >= threshold).alias("toxic"))
 
 
 @query
@@ -56,6 +57,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +73,13 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories are sources, with one directory for each language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
