@@ -21,7 +21,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 s AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
 p AS (SELECT avg(f / n) AS m, avg((f / n) * (f / n)) AS m2, avg(1 / n) AS inv FROM s),
 v AS (SELECT m, CASE WHEN (m2 - m * m - m * (1 - m) * inv) / nullif(1 - inv, 0) > 1e-12
-  THEN least(1000.0, greatest(m * (1 - m) / ((m2 - m * m - m * (1 - m) * inv) / (1 - inv)) - 1, 1.0)) ELSE 1000.0 END AS k FROM p),
+  THEN least(1000.0, greatest(m * (1 - m) / ((m2 - m * m - m * (1 - m) * inv) / (1 - inv)) - 1, 10.0)) ELSE 1000.0 END AS k FROM p),
 y AS (SELECT source, (f + m * k) / (n + k) > 0.5 AS host_rejected FROM s, v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
   NOT base_failed AND NOT host_rejected AS kept

@@ -81,7 +81,7 @@ def host_rates(failures: DataFrame) -> DataFrame:
     """(host, n, failed, rate): failure rates shrunk by a beta prior.
 
     The prior's mean is the mean rate of the hosts, its strength comes from the variance between
-    hosts less what counting alone would give; hosts that differ by no more than that share the
+    hosts less what counting alone would give, but is at least ``10`` documents; hosts that differ by no more share the
     strongest prior, ``1000`` documents. ``failures``: rows (host, failed).
     """
     hosts = write_layer(failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")), "quality-hosts")
@@ -92,7 +92,7 @@ def host_rates(failures: DataFrame) -> DataFrame:
         chance = mean * (1 - mean)
         between = (seen["m2"] - mean * mean - chance * seen["inverse"]) / (1 - seen["inverse"])
         if between > 1e-12:
-            strength = min(1000.0, max(chance / between - 1, 1.0))
+            strength = min(1000.0, max(chance / between - 1, 10.0))
     rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", "n", "failed", rate.alias("rate"))
 
