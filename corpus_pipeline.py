@@ -16,8 +16,9 @@ from causeway.session import write_layer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their own rules and whose host passes."""
+    """Documents that pass their own rules and whose host passes; rows without an id go."""
     prepared(spark)
+    docs = docs.where("doc_id IS NOT NULL")
     kept = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 
@@ -33,13 +34,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand elsewhere too; documents of which nothing remains go."""
     prepared(spark)
     cut = write_layer(substring_dedup.dedup(docs, with_text=True).where("n_removed > 0"), "pipeline-cut")
-    cut = cut.select("doc_id", F.lit(True).alias("changed"), (F.col("n_removed") < F.col("n_words")).alias("remains"), "kept_text")
-    text = F.when(F.col("changed"), F.col("kept_text")).otherwise(F.col("text"))
-    out = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").where("changed IS NULL OR remains").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        size = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", size)
-    return out.select(docs.columns)
+    cut = cut.dropDuplicates(["doc_id"]).select(F.struct("doc_id", (F.col("n_removed") < F.col("n_words")).alias("remains"), "kept_text").alias("cut"))
+    rows = docs.select(F.struct("*").alias("doc")).join(cut, F.col("doc.doc_id") == F.col("cut.doc_id"), "left")
+    changed = F.col("cut").isNotNull()
+    new = {"text": F.col("cut.kept_text"), "n_chars": F.length("cut.kept_text")}
+    return rows.where("cut IS NULL OR cut.remains").select(
+        *[F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"doc.{c}")).alias(c) if c in new else F.col(f"doc.{c}").alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
