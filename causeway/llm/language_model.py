@@ -36,7 +36,7 @@ from causeway.llm.shuffle import sorted_groups
 from causeway.llm.tokens import U64, chunks, join, words
 from causeway.session import write_layer
 
-SPAN_BYTES = 12 << 20
+SPAN_BYTES = 6 << 20
 END = U64(0xE7D0)
 START = U64(0x57A7)
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3

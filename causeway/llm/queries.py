@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches that stay small where rows are long texts or packed counts."""
-    tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
