@@ -38,7 +38,7 @@ from causeway.session import write_layer
 SHINGLE = 5
 BANDS = 28
 ROWS = 6
-BLOCK_DOCS = 512
+BLOCK_DOCS = 256
 BLOCK_BYTES = 1 << 22
 
 
@@ -179,9 +179,7 @@ def verified(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text
     kind = docs.schema[id_col].dataType.simpleString()
     weight = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") * 8 / block_bytes)).cast("int")
     sizes = groups.groupBy("component").agg(weight.alias("blocks"))
-    salted = groups.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
-    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    placed = (salted.join(spread, ["component", "salt"])
+    placed = (groups.join(sizes, "component")
               .select(F.col("doc_id"), "component", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int").alias("block")))
     texts = placed.join(packed(docs, id_col, text_col), "doc_id").dropDuplicates(["doc_id"])
     pairs = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -223,9 +221,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     groups = write_layer(groups.join(classes.select("doc_id", "n_shingles"), "doc_id"), "near-groups")
     links = components(verified(docs, groups, percent, id_col, text_col), "near-links")
     label = (classes.select("set_a", "set_b", "doc_id").join(links, F.col("doc_id") == F.col("node"), "left")
-             .select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id"),
-                     F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt")))
-    known = (filled.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).join(label, ["set_a", "set_b", "salt"])
-             .select("doc_id", "n_shingles", "component_id"))
+             .select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id")))
+    # one row for each set on the right: a set that many documents share is split by the adaptive skew join
+    known = filled.join(label, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
