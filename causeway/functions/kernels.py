@@ -62,7 +62,7 @@ def pelt(values: np.ndarray, penalty: float, min_size: int = MIN_SIZE, jump: int
     return cuts[::-1]
 
 
-def changepoints(values: np.ndarray, place: np.ndarray, gap: int) -> list[tuple[int, float, float]]:
+def changepoints(values: np.ndarray, place: np.ndarray, gap: int, jump: int = JUMP) -> list[tuple[int, float, float]]:
     """(index, mean before, mean after) of the kept changepoints, in order.
 
     ``place`` gives the coordinate in which ``gap`` is measured: row numbers or day numbers.
@@ -71,7 +71,7 @@ def changepoints(values: np.ndarray, place: np.ndarray, gap: int) -> list[tuple[
     if n < MIN_SERIES or np.isclose(np.std(values), 0.0):
         return []
     z = (values - values.mean()) / values.std()
-    cuts = pelt(z, PENALTY * math.log(n) * float(np.var(z)))
+    cuts = pelt(z, PENALTY * math.log(n) * float(np.var(z)), jump=jump)
     found = [(i, float(values[i - MIN_SIZE:i].mean()), float(values[i:i + MIN_SIZE].mean()))
              for i in cuts if MIN_SIZE <= i <= n - MIN_SIZE]
     kept: list[tuple[int, float, float]] = []

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def as_text(field: T.StructField) -> Column:
+    """A column as text; nested values as JSON, nulls as one NUL character."""
+    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+    value = F.to_json(field.name) if nested else F.col(field.name).cast("string")
+    return F.coalesce(value, F.lit("\u0000"))
+
+
 def fingerprint(df: DataFrame, method: str = "xxhash64") -> DataFrame:
-    """Row count and an order-insensitive content sum; duplicates do not cancel out."""
+    """Row count and an order-insensitive content sum; duplicates do not cancel out.
+
+    ``md5`` sums both 64-bit halves of the digest of all columns, nested ones included.
+    """
+    total = lambda c: F.coalesce(F.sum(c.cast("decimal(20,0)")), F.lit(0)).cast("string")
     if method == "md5":
-        plain = [F.coalesce(F.col(f.name).cast("string"), F.lit("\u0000")) for f in df.schema.fields
-                 if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        row = F.conv(F.substring(F.md5(F.concat_ws("\u0001", *plain)), 1, 8), 16, 10)
+        digest = F.md5(F.concat_ws("\u0001", *[as_text(f) for f in df.schema.fields]))
+        half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10)
+        content = F.concat_ws(":", total(half(1)), total(half(17)))
     else:
-        row = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("row_count"),
-                  F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("content_sum"))
+        content = total(F.xxhash64(*df.columns))
+    return df.agg(F.count("*").alias("row_count"), content.alias("content_sum"))
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several one-row frames as one row, without a join."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

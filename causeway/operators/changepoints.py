@@ -18,11 +18,11 @@ NAMES = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
 METHOD = "pelt_l2"
 
 
-def _detect(unit: str):
+def _detect(unit: str, jump: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("metric_date")
         place = rows["day"].to_numpy() if unit == "days" else np.arange(len(rows))
-        found = kernels.changepoints(rows["value"].to_numpy(float), place, int(rows["gap"].iloc[0]))
+        found = kernels.changepoints(rows["value"].to_numpy(float), place, int(rows["gap"].iloc[0]), jump)
         key = (rows["kpi"].iloc[0], rows["region"].iloc[0])
         return pd.DataFrame(
             [(*key, rows["metric_date"].iloc[i], before, after, after - before, METHOD) for i, before, after in found],
@@ -30,8 +30,8 @@ def _detect(unit: str):
     return run
 
 
-def detect(series: DataFrame, mart: DataFrame, contracts: dict[str, Contract], gap_unit: str = "rows") -> DataFrame:
-    """Changepoints of every series with enough history.
+def detect(series: DataFrame, mart: DataFrame, contracts: dict[str, Contract], gap_unit: str = "rows", jump: int = kernels.JUMP) -> DataFrame:
+    """Changepoints of every series with enough history; breakpoints lie on multiples of ``jump`` rows.
 
     A group is one daily series, so its size is bounded by the number of calendar days
     however many raw facts a region has; parallelism is the number of series.
@@ -43,4 +43,4 @@ def detect(series: DataFrame, mart: DataFrame, contracts: dict[str, Contract], g
         series.filter(F.col("value").isNotNull()).join(enough.select("region"), "region", "left_semi")
         .select("kpi", "region", "metric_date", F.unix_date("metric_date").alias("day"), "value", gap.alias("gap"))
     )
-    return rows.groupBy("kpi", "region").applyInPandas(_detect(gap_unit), SCHEMA)
+    return rows.groupBy("kpi", "region").applyInPandas(_detect(gap_unit, jump), SCHEMA)

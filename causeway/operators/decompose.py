@@ -26,7 +26,7 @@ def operator_of(contracts: dict[str, Contract]) -> Column:
 
 
 def sides(levels: DataFrame, contracts: dict[str, Contract]) -> DataFrame:
-    """One row per incident with a0, a1, b0, b1; incidents lacking a window are left out."""
+    """One row per incident with a0, a1, b0, b1; incidents lacking a window are left out (``window_status`` names them)."""
     pick = lambda i, c: F.max(F.when(F.col("ordinal") == i, F.col(c)))
     return (
         levels.filter("history_rows > 0 AND incident_rows > 0").groupBy(*INCIDENT).agg(
@@ -37,6 +37,14 @@ def sides(levels: DataFrame, contracts: dict[str, Contract]) -> DataFrame:
     )
 
 
+def window_status(incidents: DataFrame, levels: DataFrame) -> DataFrame:
+    """Every incident with the reason why it can or cannot be split: (kpi, region, window_start, status)."""
+    rows = levels.groupBy(*INCIDENT).agg(F.min("history_rows").alias("h"), F.min("incident_rows").alias("i"))
+    return incidents.select(*INCIDENT).join(rows, INCIDENT, "left").select(
+        *INCIDENT, F.when(F.col("h").isNull(), "no_data").when(F.col("h") == 0, "no_history")
+        .when(F.col("i") == 0, "no_incident_rows").otherwise("analysed").alias("status"))
+
+
 def decompose(df: DataFrame, method: str = "shapley") -> DataFrame:
     """Add effects to rows with decomposition_type, a0, a1, b0, b1.
 

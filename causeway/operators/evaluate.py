@@ -17,6 +17,7 @@ from causeway.functions.wording import JARGON, mentions
 from causeway.operators import external as X
 from causeway.operators.decision import weight_order
 from causeway.operators.evidence import usable
+from causeway.functions.table import one_row
 from causeway.operators.health import graded, health_as_of, verdict
 from causeway.operators.series import INCIDENT
 
@@ -46,11 +47,16 @@ def changepoint_recall(truth: DataFrame, detected: DataFrame) -> DataFrame:
 
 def closest_window(truth: DataFrame, evidence: DataFrame) -> DataFrame:
     """The incident nearest to each scenario's date; the earlier one on a tie."""
-    windows = evidence.select(*INCIDENT).distinct()
-    pairs = truth.select("scenario_id", "kpi", "region", "changepoint_date").join(windows, ["kpi", "region"])
-    return pairs.groupBy("scenario_id", "kpi", "region").agg(F.min(F.struct(
-        F.abs(F.datediff("window_start", "changepoint_date")).alias("gap"), "window_start")).alias("m")) \
-        .select("scenario_id", "kpi", "region", "m.window_start")
+    windows = evidence.select(*INCIDENT).distinct().select("kpi", "region", F.col("window_start").alias("day"), "window_start")
+    asked = truth.select("kpi", "region", F.col("changepoint_date").alias("day"), "scenario_id")
+    rows = windows.unionByName(asked, allowMissingColumns=True)
+    series = W.partitionBy("kpi", "region").orderBy("day")
+    before = F.max("window_start").over(series.rangeBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min("window_start").over(series.rangeBetween(W.currentRow, W.unboundedFollowing))
+    near = rows.withColumn("before", before).withColumn("after", after).filter(F.col("scenario_id").isNotNull())
+    earlier = F.col("after").isNull() | (F.datediff("day", "before") <= F.datediff("after", "day"))
+    return near.select("scenario_id", "kpi", "region", F.when(earlier, F.coalesce("before", "after")).otherwise(F.col("after")).alias("window_start")) \
+        .filter("window_start IS NOT NULL")
 
 
 def case_evidence(truth: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -154,12 +160,18 @@ def health_recall(cases: DataFrame) -> DataFrame:
                      share("low_confidence_enforced").alias("low_confidence_enforcement_rate"))
 
 
-def isolation(context: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Retrieval rows found in the raw context, and whether the mart kept its fingerprint."""
+def isolation(context: DataFrame, stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Retrieval rows found in the raw context, and whether the raw tables still have the stored fingerprints.
+
+    ``stored`` and ``now``: (table_name, row_count, content_sum).
+    """
     dirty = context.agg(F.count_if(F.col("source_type") == "orchestrator_retrieval").alias("contaminated_rows"))
-    same = before.join(after.select(F.col("row_count").alias("n2"), F.col("content_sum").alias("c2")), F.lit(True)).select(
-        ((F.col("row_count") == F.col("n2")) & (F.col("content_sum") == F.col("c2"))).alias("mart_unchanged"))
-    return dirty.join(same, F.lit(True))
+    keys = ["table_name", "row_count", "content_sum"]
+    rows = stored.select(*keys, F.lit(1).alias("s"), F.lit(0).alias("n")).unionByName(now.select(*keys, F.lit(0).alias("s"), F.lit(1).alias("n")))
+    pairs = rows.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    same = pairs.agg(F.countDistinct("table_name").alias("tables"),
+                     F.countDistinct(F.when(F.col("s") != F.col("n"), F.col("table_name"))).alias("changed_tables"))
+    return one_row(dirty, same)
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -220,7 +232,6 @@ def policy_violations(actions: DataFrame, plans: DataFrame, contexts: DataFrame,
 
 def neutrality(evidence_diff: DataFrame, split_diff: DataFrame, calibration: DataFrame) -> DataFrame:
     """Feedback must change nothing but the bounded readiness figure."""
-    return evidence_diff.agg(F.count("*").alias("changed_evidence_rows")).join(
-        split_diff.agg(F.count("*").alias("changed_decomposition_rows")), F.lit(True)).join(
-        calibration.agg(F.count_if("applied").alias("calibrated"),
-                        F.count_if(F.abs("adjustment") > 0.1000001).alias("out_of_bound")), F.lit(True))
+    return one_row(
+        evidence_diff.agg(F.count("*").alias("changed_evidence_rows")), split_diff.agg(F.count("*").alias("changed_decomposition_rows")),
+        calibration.agg(F.count_if("applied").alias("calibrated"), F.count_if(F.abs("adjustment") > 0.1000001).alias("out_of_bound")))

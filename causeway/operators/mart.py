@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 DAY = ["metric_date", "region"]
 MARGIN_ROLES = ("Executive", "Finance")
 
 
-def decimals_to_double(df: DataFrame) -> DataFrame:
-    """Cast every DECIMAL field to double on entry to the statistics."""
-    return df.select(*[
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-        for f in df.schema.fields])
-
-
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields NULL for a zero divisor."""
     return top / F.nullif(bottom, F.lit(0.0))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from causeway.functions.table import fingerprint
+from causeway.functions.table import fingerprint, one_row
 from causeway.operators import decompose as D
 from causeway.operators import mart as M
 from causeway.operators import series as S
@@ -144,11 +145,11 @@ def domain_violations(w: Workspace) -> DataFrame:
 
 @query
 def window_mean_compare(w: Workspace) -> DataFrame:
-    """Means of the eight days before and after each revenue incident."""
-    hits = w.incidents.filter("kpi = 'revenue'")
-    pre = hits.select(F.concat(F.lit("pre "), F.col("window_start").cast("string")).alias("label"), "region",
+    """Means of the eight days before and after each incident."""
+    hits = w.incidents
+    pre = hits.select(F.concat(F.lit("pre "), F.col("kpi"), F.lit(" "), F.col("window_start").cast("string")).alias("label"), "region",
                       F.date_sub("window_start", 8).alias("start_date"), F.date_sub("window_start", 1).alias("end_date"))
-    post = hits.select(F.concat(F.lit("post "), F.col("window_start").cast("string")).alias("label"), "region",
+    post = hits.select(F.concat(F.lit("post "), F.col("kpi"), F.lit(" "), F.col("window_start").cast("string")).alias("label"), "region",
                        F.col("window_start").alias("start_date"), F.date_add("window_start", 7).alias("end_date"))
     metrics = ["revenue", "stock_availability", "marketing_spend", "conversion_rate"]
     return show(M.window_means(w.mart, pre.unionByName(post), metrics), "label region", " ".join(metrics), 4)
@@ -168,8 +169,12 @@ def recent_margin(w: Workspace) -> DataFrame:
 @query
 def table_fingerprint(w: Workspace) -> DataFrame:
     out = None
-    for name in ("documents", "pages", "benchmark", "labels", "conversations", "nation"):
-        one = fingerprint(w.facts.table(name), "md5").withColumn("table_name", F.lit(name))
+    vectors = w.facts.table("embeddings")
+    vectors = vectors.select(*[F.transform(f.name, lambda x: F.rint(x.cast("double") * 1e6).cast("bigint")).alias(f.name)
+                               if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in vectors.schema.fields])
+    tables = {name: w.facts.table(name) for name in ("documents", "pages", "benchmark", "labels", "conversations")}
+    for name, df in {**tables, "embeddings": vectors, **w.facts.raw_tables()}.items():
+        one = fingerprint(df, "md5").withColumn("table_name", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -253,5 +258,25 @@ def component_impacts(w: Workspace) -> DataFrame:
 def decomposition_audit(w: Workspace) -> DataFrame:
     """Exactness of every stored split; a failing row is listed with its gap."""
     failed = D.failed_sums(w.decomposed)
-    return w.decomposed.agg(F.count("*").alias("checked")).join(
-        failed.agg(F.count("*").alias("failures")), F.lit(True)).select("checked", "failures")
+    return one_row(w.decomposed.agg(F.count("*").alias("checked")), failed.agg(F.count("*").alias("failures")))
+
+
+@query
+def incident_status(w: Workspace) -> DataFrame:
+    """Every incident, with the reason where it cannot be split."""
+    return D.window_status(w.incidents, w.levels)
+
+
+@query
+def margin_restricted(w: Workspace) -> DataFrame:
+    """What a role without access to margins sees of the mart."""
+    seen = M.for_role(w.mart, "Growth analyst")
+    hidden = sorted(set(w.mart.columns) - set(seen.columns))
+    return show(seen.withColumn("hidden", F.lit(",".join(hidden))), "metric_date region hidden", "revenue units_sold", 5)
+
+
+@query
+def stored_prints(w: Workspace) -> DataFrame:
+    """The fingerprints of the raw tables that were stored when the mart was made."""
+    w.mart  # noqa: B018
+    return w.raw_prints

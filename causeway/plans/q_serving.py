@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators import bundle as U
@@ -29,9 +31,7 @@ def stored_frames(w: Workspace) -> dict[str, DataFrame]:
 
 @query
 def coverage_matrix(w: Workspace) -> DataFrame:
-    """Packets only count from 1997 on, so that every status occurs."""
-    recent = w.packets.filter("window_start >= '2001-06-01'")
-    return V.coverage(w.mart, w.contracts, found(w), recent)
+    return V.coverage(w.mart, w.contracts, found(w), w.packets)
 
 
 @query
@@ -84,14 +84,28 @@ def artifact_counts(w: Workspace) -> DataFrame:
     return V.artifact_counts(stored_frames(w))
 
 
+def long_frame(df: DataFrame, frame: str, item: Column, fields: dict[str, str | Column]) -> DataFrame:
+    """(frame, kpi, region, window_start, item, field, number): one row for each figure."""
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("number")) for n, c in fields.items()])
+    return df.select(F.lit(frame).alias("frame"), *INCIDENT, item.cast("string").alias("item"), F.explode(cells).alias("c")) \
+        .select("frame", *INCIDENT, "item", "c.field", "c.number")
+
+
 @query
 def dashboard_frames(w: Workspace) -> DataFrame:
-    frames = V.dashboard(stored_frames(w), "revenue", "ASIA")
-    out = None
-    for name, df in frames.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("frame"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The seven stored frames of the dashboard, for every KPI and region, one figure a row."""
+    frames = stored_frames(w)
+    pair, none = F.concat_ws(":", "component", "driver"), F.lit("")
+    parts = [
+        long_frame(frames["changepoints"].withColumnRenamed("changepoint_date", "window_start"), "changepoints", none, {"found": F.lit(1)}),
+        long_frame(frames["decomposition"], "decomposition", none, {c: c for c in ("total_change", "effect_a", "effect_b", "interaction_effect")}),
+        long_frame(frames["driver_evidence"], "driver_evidence", pair, {"evidence_score": "evidence_score", "weight": "softmax_probability"}),
+        long_frame(frames["retrieved_context"], "retrieved_context", F.concat_ws(":", "source_index", "hypothesis"), {"support": "support", "confidence": "confidence"}),
+        long_frame(frames["decision_packets"], "decision_packets", none, {"percent_change": "percent_change", "gap": "top_probability_gap"}),
+        long_frame(frames["orchestrator_updates"], "orchestrator_updates", pair, {"before": "softmax_probability", "after": "fused_probability"}),
+        long_frame(frames["evidence_bundle"], "evidence_bundle", none, {"drivers": F.size("bundle.deterministic_evidence.ranked_drivers")}),
+    ]
+    return show(reduce(lambda a, b: a.unionByName(b), parts), "frame kpi region window_start item field", "number", 4)
 
 
 @query

@@ -7,11 +7,12 @@ stays a lazy DataFrame.
 from __future__ import annotations
 
 import datetime as dt
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions.table import fingerprint
 from causeway.operators import action as A
 from causeway.operators import bundle as U
 from causeway.operators import corpus as K
@@ -54,13 +55,24 @@ class Workspace:
 
     @cached_property
     def mart_plan(self) -> DataFrame:
-        f = self.facts
+        f = self.facts.ready()
         return M.daily_mart(f.sales, f.marketing, f.market_context, f.customer_success)
 
     @cached_property
     def mart(self) -> DataFrame:
+        """Written with the fingerprints of the raw tables it was made of."""
+        self.raw_prints  # noqa: B018
         return write_layer(self.mart_plan, "mart")
 
+    def prints(self) -> DataFrame:
+        """(table_name, row_count, content_sum) of the raw tables as they are now."""
+        return reduce(lambda a, b: a.unionByName(b), [fingerprint(df, "md5").withColumn("table_name", F.lit(name))
+                                                      for name, df in self.facts.raw_tables().items()])
+
+    @cached_property
+    def raw_prints(self) -> DataFrame:
+        return write_layer(self.prints(), "raw-prints")
+
     @cached_property
     def series(self) -> DataFrame:
         return S.kpi_series(self.mart, self.contracts)
@@ -178,14 +190,14 @@ class Workspace:
 
     @cached_property
     def anchors(self) -> DataFrame:
-        """Named anchors for the test tables: per region the first title word of one of its pages."""
-        first = self.facts.table("pages").select((F.col("page_id") % 5).alias("rk"), "page_id", "html").groupBy("rk").agg(
-            F.min(F.struct("page_id", "html")).alias("p"))
-        word = F.regexp_extract(F.lower("p.html"), "<title>[^a-z]*([a-z]+)", 1)
-        named = first.join(self.facts.table("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")),
-                           "rk").select("region", word.alias("value"))
-        return self.incidents.filter(F.year("window_start") % 2 == 1).join(named, "region").select(
-            *INCIDENT, F.lit("competitor_name").alias("key"), "value")
+        """Named anchors for the test tables: per region the commonest first title word of all its pages."""
+        word = F.regexp_extract(F.lower("html"), "<title>[^a-z]*([a-z]+)", 1)
+        counts = self.facts.table("pages").select((F.col("page_id") % 5).alias("rk"), word.alias("value")).filter("value <> ''") \
+            .groupBy("rk", "value").agg(F.count("*").alias("n"))
+        common = counts.groupBy("rk").agg(F.min(F.struct((-F.col("n")).alias("o"), "value")).alias("m"))
+        named = common.join(self.facts.table("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")),
+                            "rk").select("region", F.col("m.value").alias("value"))
+        return self.incidents.join(named, "region").select(*INCIDENT, F.lit("competitor_name").alias("key"), "value")
 
     @cached_property
     def policy_rows(self) -> DataFrame:

@@ -225,13 +225,13 @@ def load_playbook(path: str | Path | None = None) -> dict:
     return {"defaults": raw.get("defaults") or {}, "playbooks": raw.get("playbooks") or {}}
 
 
-# Wording used when a playbook entry lacks a text.
+# Used where a playbook entry lacks a text.
 DEFAULT_TEXT = {
-    "next_check": "Validate the operational change behind this signal.",
-    "action_if_confirmed": "Correct the confirmed operational issue and monitor whether the KPI responds.",
-    "hidden_check": "Break the aggregate signal into operational sub-segments before changing the business lever.",
+    "next_check": "Make sure that the change behind this signal is real.",
+    "action_if_confirmed": "Put the confirmed fault right and follow the metric.",
+    "hidden_check": "Look into the segments of this signal before changing it as a whole.",
 }
-NARROW_ACTION = ("Make the narrowest operational change supported by the check, then monitor the KPI response.")
+NARROW_ACTION = "Change no more than the check supports, and follow the metric."
 
 
 def _playbook_texts(raw) -> tuple[str, str, str]:
@@ -264,8 +264,3 @@ def playbook_dim(spark: SparkSession, playbook: dict, names: list[str]) -> DataF
 
 def driver_names(contracts: dict[str, Contract]) -> list[str]:
     return sorted({d.name for c in contracts.values() for d in c.drivers})
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Mark a dimension built from the configuration files (a few hundred rows) for broadcast."""
-    return F.broadcast(df)

@@ -47,44 +47,77 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def write(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def write(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite", partitions: str = "static") -> None:
+        """Tables with a kpi column get one folder for each kpi, with as few files as adaptive execution finds useful."""
         self.guard(layer, name)
-        out = df.write.mode(mode).option("partitionOverwriteMode", "static")
-        (out.partitionBy("kpi") if "kpi" in df.columns else out).parquet(self.path(name))
+        split = "kpi" in df.columns
+        out = (df.hint("rebalance", F.col("kpi")) if split else df).write.mode(mode).option("partitionOverwriteMode", partitions)
+        (out.partitionBy("kpi") if split else out).parquet(self.path(name))
 
     def append(self, layer: str, name: str, df: DataFrame) -> None:
         self.write(layer, name, df, "append")
 
     def clear(self, layer: str, name: str) -> None:
-        """Empty a derived table but keep its schema."""
-        schema = self.read(name).schema
+        """Empty a derived table but keep its schema and its partitioning."""
         self.guard(layer, name)
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path(name))
+        out = self.spark.createDataFrame([], self.read(name).schema).write.mode("overwrite")
+        (out.partitionBy("kpi") if "kpi" in self.read(name).columns else out).parquet(self.path(name))
+
+    def swap(self, layer: str, name: str, df: DataFrame, touched: DataFrame | None) -> None:
+        """Write a result that was read from the table itself: staged first, then swapped in.
 
-    def replace(self, layer: str, name: str, df: DataFrame) -> None:
-        """Overwrite a table with a result that was read from it: staged first, then swapped in."""
-        self.write(layer, name, write_layer(df, name))
+        ``touched``: the kpis whose partitions ``df`` holds; others stay as they are. Without it, the
+        whole table is replaced. A touched partition of which no row is left is emptied.
+        """
+        self.guard(layer, name)
+        staged = write_layer(df, name)
+        if touched is None:
+            self.write(layer, name, staged)
+            return
+        self.write(layer, name, staged, partitions="dynamic")
+        gone = [r["kpi"] for r in touched.select("kpi").distinct().join(staged.select("kpi").distinct(), "kpi", "left_anti").collect()]  # contract kpis
+        for kpi in gone:
+            # the path is one folder; its name is written as Spark writes it
+            folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("kpi", kpi)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def upsert(self, layer: str, name: str, new: DataFrame, keys: list[str]) -> None:
-        """Replace rows by primary key. Only the kpi partitions that receive rows are rewritten."""
+        """Replace rows by primary key, or create the table. Only the kpi partitions that receive rows are rewritten."""
         self.guard(layer, name)
+        if not self.exists(name):
+            self.write(layer, name, new)
+            return
         old = self.read(name).select(*new.columns)
-        kept = old.join(new.select("kpi").distinct(), "kpi", "left_semi").join(new, keys, "left_anti").select(*new.columns)
-        staged = write_layer(kept.unionByName(new), name)
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kpi").parquet(self.path(name))
+        mine = new.select("kpi").distinct()
+        kept = old.join(mine, "kpi", "left_semi").join(new, keys, "left_anti").select(*new.columns)
+        self.swap(layer, name, kept.unionByName(new), mine)
 
     def update(self, layer: str, name: str, changes: DataFrame, keys: list[str]) -> None:
-        """Set columns of the rows whose key appears in ``changes``."""
+        """Set columns of the rows whose key appears in ``changes``; only their kpi partitions are rewritten."""
         fresh = [c for c in changes.columns if c not in keys]
         old = self.read(name)
+        touched = changes.select("kpi").distinct() if "kpi" in keys else None
+        if touched is not None:
+            old = old.join(touched, "kpi", "left_semi")
         new = changes.select(*keys, *[F.col(c).alias(f"new_{c}") for c in fresh], F.lit(True).alias("hit"))
         df = old.join(new, keys, "left").select(*[
             F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c)
             for c in old.columns])
-        self.replace(layer, name, df)
+        self.swap(layer, name, df, touched)
 
     def delete(self, layer: str, name: str, condition: Column) -> None:
-        self.replace(layer, name, self.read(name).filter(~F.coalesce(condition, F.lit(False))))
+        """Remove rows; only the kpi partitions that hold such rows are rewritten."""
+        rows, hit = self.read(name), F.coalesce(condition, F.lit(False))
+        if "kpi" not in rows.columns:
+            self.swap(layer, name, rows.filter(~hit), None)
+            return
+        touched = write_layer(rows.filter(hit).select("kpi").distinct(), f"{name}-touched")
+        self.swap(layer, name, rows.join(touched, "kpi", "left_semi").filter(~hit), touched)
 
     def delete_demo_feedback(self) -> None:
         self.delete("app", "user_feedback", F.col("is_demo"))

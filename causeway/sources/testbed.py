@@ -1,11 +1,13 @@
 """Adapter: the order-processing test tables expressed as the raw fact schema.
 
+The placed orders and the four daily facts are written once, and everything after reads them.
 Money is summed exactly, as whole cents, so that sums do not depend on row order. Nothing here
 is broadcast by hand: Spark decides from measured sizes.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from causeway.session import write_layer
+
 PRICE_BASE = 250_000.0
 REORDER_PER_LINE = 25
 EXPECTED_ROWS = {"sales": 3, "marketing": 1, "customer_success": 1, "market_context": 1}
@@ -42,14 +46,22 @@ class Testbed:
 
     @cached_property
     def placed_orders(self) -> DataFrame:
-        """Orders with the customer's region."""
+        """The needed columns of the orders with the customer's region, written once."""
         place = (
             self.table("customer").select("c_custkey", "c_nationkey")
             .join(self.table("nation").select("n_nationkey", "n_regionkey"), F.expr("c_nationkey = n_nationkey"))
             .join(self.table("region"), F.expr("n_regionkey = r_regionkey"))
             .select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("region"))
         )
-        return self.table("orders").join(place, "o_custkey").withColumn("day", F.to_date("o_orderdate"))
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+        return write_layer(orders.join(place, "o_custkey").withColumn("day", F.to_date("o_orderdate")), "placed-orders")
+
+    def ready(self) -> Testbed:
+        """Write the four daily facts side by side, where they are not written yet."""
+        self.placed_orders  # noqa: B018
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda name: getattr(self, name), EXPECTED_ROWS))
+        return self
 
     @cached_property
     def sales(self) -> DataFrame:
@@ -58,7 +70,7 @@ class Testbed:
             F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size",
             F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
         rate = scaled("l_discount", 10_000)
-        return (
+        return write_layer(
             self.table("lineitem").join(where, "l_orderkey").join(part, "l_partkey")
             .groupBy(F.to_date("l_shipdate").alias("sale_date"), "region", F.col("p_brand").alias("product_id"))
             .agg(
@@ -70,8 +82,7 @@ class Testbed:
                 F.sum(F.col("p_size").cast("bigint")).alias("inventory_units"),
                 (F.count("*") * REORDER_PER_LINE).alias("reorder_point"),
                 F.max("l_shipdate").alias("source_loaded_at"),
-            )
-        )
+            ), "sales")
 
     @cached_property
     def marketing(self) -> DataFrame:
@@ -96,17 +107,16 @@ class Testbed:
                      F.col("f.o_orderpriority").alias("channel"))
             .agg(F.count("*").alias("new_customers"))
         )
-        return (
+        return write_layer(
             placed.unionByName(first, allowMissingColumns=True).groupBy(*keys)
             .agg(*[F.sum(c).alias(c) for c in ("spend", "impressions", "sessions", "orders", "new_customers")],
-                 F.max("source_loaded_at").alias("source_loaded_at"))
-        )
+                 F.max("source_loaded_at").alias("source_loaded_at")), "marketing")
 
     @cached_property
     def market_context(self) -> DataFrame:
         urgent = F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
         slow = F.avg(F.when(F.col("o_orderpriority") == "5-LOW", 1.0).otherwise(0.0))
-        return (
+        return write_layer(
             self.placed_orders
             .groupBy(F.to_date(F.date_trunc("week", F.col("day"))).alias("week_start"), "region")
             .agg(
@@ -116,8 +126,7 @@ class Testbed:
                 F.when(urgent > 0.3, "ambiguous_local_event").alias("event_type"),
                 F.lit("scheduled_feed").alias("source_type"),
                 F.max("o_orderdate").alias("source_loaded_at"),
-            )
-        )
+            ), "market-context")
 
     @cached_property
     def customer_success(self) -> DataFrame:
@@ -127,12 +136,12 @@ class Testbed:
             flag(F.col("o_orderpriority") == "1-URGENT").alias("tickets"),
             flag(F.col("o_orderstatus") == "P").alias("partial"),
             F.count("*").alias("n"), F.max("o_orderdate").alias("at"))
-        return per_customer.groupBy("activity_date", "region").agg(
+        return write_layer(per_customer.groupBy("activity_date", "region").agg(
             F.count("*").alias("active_customers"),
             F.sum("lost").alias("churned_customers"),
             F.sum("tickets").alias("support_tickets"),
             (1.0 - 0.1 * F.sum("partial") / F.sum("n")).alias("platform_uptime_pct"),
-            F.max("at").alias("source_loaded_at"))
+            F.max("at").alias("source_loaded_at")), "customer-success")
 
     @cached_property
     def source_health(self) -> DataFrame:
@@ -200,6 +209,20 @@ class Testbed:
                     F.col("props").alias("comment_text"), (F.col("user_id") % 7 == 0).alias("is_demo"))
         )
 
+    def raw_tables(self) -> dict[str, DataFrame]:
+        """The tables that the facts are made of, in columns whose text form is the same everywhere."""
+        cents = lambda c: scaled(c, 100).alias(c)
+        day = lambda c: F.to_date(c).alias(c)
+        return {
+            "orders": self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", cents("o_totalprice"), day("o_orderdate"), "o_orderpriority"),
+            "lineitem": self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", cents("l_quantity"), cents("l_extendedprice"),
+                                                      cents("l_discount"), day("l_shipdate")),
+            "customer": self.table("customer").select("c_custkey", "c_nationkey"),
+            "part": self.table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", cents("p_retailprice")),
+            "nation": self.table("nation").select("n_nationkey", "n_name", "n_regionkey"),
+            "region": self.table("region").select("r_regionkey", "r_name"),
+        }
+
     @cached_property
     def telemetry(self) -> DataFrame:
         return self.table("events").select(

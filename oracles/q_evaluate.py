@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import oracles.q_serving  # noqa: F401
 from oracles.base import CTE, build
-from oracles.q_mart import nums
+from oracles.q_mart import _RAW, nums, prints
 
 ORACLES: dict[str, str] = {}
 
@@ -78,4 +78,27 @@ add("health_recall", f"""
             FROM truth t, (VALUES ('sales'), ('marketing')) s(source_name)) a
       LEFT JOIN source_health h ON h.region = a.region AND h.source_name = a.source_name AND h.health_date = a.d GROUP BY 1))""".replace(
     "SELECT COUNT(*) AS eligible_cases, round", "SELECT n AS eligible_cases, round"))
-add("isolation_audit", "SELECT COUNT(*) FILTER (source_type = 'orchestrator_retrieval') AS contaminated_rows, TRUE AS mart_unchanged FROM market_context")
+add("isolation_audit", f"""SELECT * FROM (SELECT COUNT(*) FILTER (source_type = 'orchestrator_retrieval') AS contaminated_rows FROM market_context),
+  (SELECT COUNT(DISTINCT table_name) AS tables, COUNT(DISTINCT table_name) FILTER (row_count IS NULL OR content_sum IS NULL) AS changed_tables
+   FROM ({prints(_RAW)}))""")
+add("language_audit", """SELECT COUNT(*) AS checked, COALESCE(SUM(
+    CASE WHEN action_level = 'act' AND movement_status <> 'material_movement' THEN 1 ELSE 0 END
+    + CASE WHEN action_level = 'act' AND COALESCE(driver_direction, 'unknown') IN ('unchanged', 'unknown') THEN 1 ELSE 0 END
+    + CASE WHEN action_level = 'act' AND direction_alignment = 'contradictory' THEN 1 ELSE 0 END
+    + CASE WHEN action_level = 'act' AND primary_driver IS NULL THEN 1 ELSE 0 END
+    + CASE WHEN action_level IN ('validate', 'validate_unexplained') AND starts_with(lower(action_readiness), 'act') THEN 1 ELSE 0 END
+    + CASE WHEN COALESCE(action_readiness, '') = '' THEN 1 ELSE 0 END), 0)::BIGINT AS failures FROM f_action""")
+add("policy_audit", f"""SELECT * FROM (SELECT COUNT(*) AS planned FROM plan), (SELECT COALESCE(SUM(
+    CASE WHEN p.kpi IS NOT NULL AND a.action_level IN ('monitor', 'data_quality_first') THEN 1 ELSE 0 END
+    + CASE WHEN p.kpi IS NULL AND COALESCE(n.n, 0) > 0 THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target NOT IN ('web', 'internal', 'none') THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target = 'web' AND COALESCE(p.retrieval_query, '') = '' THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target <> 'web' AND COALESCE(p.retrieval_query, '') <> '' THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target <> 'web' AND COALESCE(n.n, 0) > 0 THEN 1 ELSE 0 END
+    + CASE WHEN length(p.clarification_question) - length(replace(p.clarification_question, '?', '')) <> 1 THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target = 'web' AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.kpi = p.kpi AND c.region = p.region
+        AND c.window_start = p.window_start AND c.eligible) THEN 1 ELSE 0 END
+    + CASE WHEN p.retrieval_target = 'web' AND NOT contains(p.retrieval_query, p.region) THEN 1 ELSE 0 END), 0)::BIGINT AS failures
+  FROM action a LEFT JOIN plan p USING ({K}) LEFT JOIN (SELECT {K}, COUNT(*) AS n FROM sources GROUP BY ALL) n USING ({K}))""")
+add("feedback_neutrality", """SELECT 0::BIGINT AS changed_evidence_rows, 0::BIGINT AS changed_decomposition_rows,
+  COUNT(*) FILTER (applied) AS calibrated, COUNT(*) FILTER (abs(adjustment) > 0.1000001) AS out_of_bound FROM f_calibrated""")

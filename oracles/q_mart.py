@@ -98,8 +98,8 @@ add("window_mean_compare", "SELECT label, region, " + nums(
     "revenue stock_availability marketing_spend conversion_rate", 4) + """ FROM (
   SELECT w.label, w.region, AVG(revenue) AS revenue, AVG(stock_availability) AS stock_availability,
          AVG(marketing_spend) AS marketing_spend, AVG(conversion_rate) AS conversion_rate
-  FROM (SELECT 'pre ' || window_start AS label, region, window_start - 8 AS s, window_start - 1 AS e FROM incidents WHERE kpi = 'revenue'
-        UNION ALL SELECT 'post ' || window_start, region, window_start, window_start + 7 FROM incidents WHERE kpi = 'revenue') w
+  FROM (SELECT 'pre ' || kpi || ' ' || window_start AS label, region, window_start - 8 AS s, window_start - 1 AS e FROM incidents
+        UNION ALL SELECT 'post ' || kpi || ' ' || window_start, region, window_start, window_start + 7 FROM incidents) w
   JOIN mart m ON m.region = w.region AND m.metric_date BETWEEN w.s AND w.e GROUP BY 1, 2)""")
 add("incident_slices", "SELECT metric_date, region, " + nums("revenue units_sold stock_availability weather_index", 5)
     + """ FROM mart WHERE (region = 'ASIA' AND metric_date BETWEEN '1996-04-12' AND '1996-06-22')
@@ -107,13 +107,28 @@ add("incident_slices", "SELECT metric_date, region, " + nums("revenue units_sold
   OR (region = 'AFRICA' AND metric_date BETWEEN '1999-11-27' AND '2000-02-07')""")
 add("recent_margin", "SELECT region, metric_date, " + nums("margin_pct") + """ FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY region ORDER BY metric_date DESC) AS rn FROM mart) WHERE rn <= 30""")
-_PRINTS = {"documents": "doc_id text lang source n_chars", "pages": "page_id url html", "benchmark": "item_id text",
-           "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
-           "nation": "n_nationkey n_name n_regionkey"}
-add("table_fingerprint", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, COUNT(*) AS row_count, CAST(CAST(COALESCE(SUM(CAST(('0x' || substr(md5(concat_ws(chr(1), "
-    + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), chr(0))" for c in cols.split())
-    + f")), 1, 8)) AS BIGINT)), 0) AS HUGEINT) AS VARCHAR) AS content_sum FROM {t}" for t, cols in _PRINTS.items()))
+def _cents(names: str) -> list[str]:
+    return [f"CAST(round(CAST({n} AS DOUBLE) * 100) AS BIGINT)" for n in names.split()]
+
+
+_RAW = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", *_cents("o_totalprice"), "CAST(o_orderdate AS DATE)", "o_orderpriority"],
+        "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", *_cents("l_quantity l_extendedprice l_discount"), "CAST(l_shipdate AS DATE)"],
+        "customer": ["c_custkey", "c_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", *_cents("p_retailprice")],
+        "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"]}
+EMBEDDING = ["vec_id", "to_json(list_transform(embedding, lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1e6, 0) AS BIGINT)))", "label"]
+_PRINTS = {"documents": "doc_id text lang source n_chars".split(), "pages": "page_id url html".split(), "benchmark": "item_id text".split(),
+           "labels": "doc_id quality toxic".split(), "conversations": "conv_id turn role text".split(), "embeddings": EMBEDDING, **_RAW}
+
+
+def prints(tables: dict[str, list[str]]) -> str:
+    """Row count and the sums of both halves of every row's digest."""
+    half = "CAST(COALESCE(SUM(CAST(('0x' || substr(h, {0}, 16)) AS UBIGINT)::HUGEINT), 0) AS VARCHAR)"
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS row_count, {half.format(1)} || ':' || {half.format(17)} AS content_sum FROM (SELECT md5(concat_ws(chr(1), "
+        + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), chr(0))" for c in cols) + f")) AS h FROM {t})" for t, cols in tables.items())
+
+
+add("table_fingerprint", prints(_PRINTS))
 add("kpi_series", "SELECT kpi, region, metric_date, " + nums("value", 5) + " FROM series")
 add("first_difference", "SELECT kpi, region, metric_date, " + nums("difference", 5) + """ FROM (
   SELECT kpi, region, metric_date, value - LAG(value) OVER (PARTITION BY kpi, region ORDER BY metric_date) AS difference
@@ -140,3 +155,10 @@ add("component_impacts", f"SELECT {KEYS}, component, " + nums("impact baseline i
 add("decomposition_audit", """SELECT COUNT(*) AS checked, COUNT(*) FILTER (
   abs(effect_a + effect_b + interaction_effect + residual - total_change) > GREATEST(abs(total_change) * 0.01, 1e-6)) AS failures
   FROM decomposed""")
+
+add("incident_status", f"""SELECT i.kpi, i.region, i.window_start, CASE WHEN h IS NULL THEN 'no_data' WHEN h = 0 THEN 'no_history'
+  WHEN n = 0 THEN 'no_incident_rows' ELSE 'analysed' END AS status FROM incidents i
+  LEFT JOIN (SELECT {KEYS}, MIN(history_rows) AS h, MIN(incident_rows) AS n FROM levels GROUP BY ALL) l
+    ON l.kpi = i.kpi AND l.region = i.region AND l.window_start = i.window_start""")
+add("margin_restricted", "SELECT metric_date, region, 'margin_pct' AS hidden, " + nums("revenue units_sold", 5) + " FROM mart")
+add("stored_prints", prints(_RAW))

@@ -59,7 +59,7 @@ add("coverage_matrix", """
                  ELSE 'no changepoint detected' END AS status
   FROM (SELECT g.kpi, g.region,
           (SELECT COUNT(*) FROM incidents i WHERE i.kpi = g.kpi AND i.region = g.region) AS changepoints_detected,
-          (SELECT COUNT(*) FROM packet i WHERE i.kpi = g.kpi AND i.region = g.region AND i.window_start >= '2001-06-01') AS decision_packets
+          (SELECT COUNT(*) FROM packet i WHERE i.kpi = g.kpi AND i.region = g.region) AS decision_packets
         FROM grid g)""")
 add("kpi_summary", "SELECT * FROM cards JOIN (SELECT DISTINCT kpi FROM contract) USING (kpi)".replace(
     "SELECT *", "SELECT kpi, region, card_status, change, confidence, incident_date, top_driver"))
@@ -92,8 +92,20 @@ _FRAMES = {"changepoints": "incidents", "decomposition": "decomposed", "driver_e
            "orchestrator_updates": "(SELECT f.kpi, f.region FROM fused f JOIN web_search w ON w.kpi = f.kpi AND w.region = f.region AND w.window_start = f.window_start)"}
 add("artifact_counts", " UNION ALL ".join(
     f"SELECT kpi, region, COUNT(*) AS records, '{n}' AS artifact FROM {t} GROUP BY kpi, region" for n, t in _FRAMES.items()))
-add("dashboard_frames", " UNION ALL ".join(
-    f"SELECT '{n}' AS frame, COUNT(*) AS n FROM {t} WHERE kpi = 'revenue' AND region = 'ASIA'" for n, t in _FRAMES.items()))
+def _long(frame: str, table: str, item: str, fields: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{frame}' AS frame, {K}, {item} AS item, '{n}' AS field, CAST({c} AS DOUBLE) AS number FROM {table}"
+                              for n, c in fields.items())
+
+
+_UPDATED = _FRAMES["orchestrator_updates"].replace("SELECT f.kpi, f.region", "SELECT f.*")
+add("dashboard_frames", f"SELECT frame, {K}, item, field, {nums('number', 4)} FROM (" + " UNION ALL ".join([
+    _long("changepoints", "incidents", "''", {"found": "1"}),
+    _long("decomposition", "decomposed", "''", {c: c for c in ("total_change", "effect_a", "effect_b", "interaction_effect")}),
+    _long("driver_evidence", "evidence", "component || ':' || driver", {"evidence_score": "evidence_score", "weight": "softmax_probability"}),
+    _long("retrieved_context", "assess", "source_index || ':' || hypothesis", {"support": "support", "confidence": "confidence"}),
+    _long("decision_packets", "packet", "''", {"percent_change": "percent_change", "gap": "top_probability_gap"}),
+    _long("orchestrator_updates", _UPDATED, "component || ':' || driver", {"before": "softmax_probability", "after": "fused_probability"}),
+    f"SELECT 'evidence_bundle', {K}, '', 'drivers', CAST(COUNT(*) AS DOUBLE) FROM evidence GROUP BY ALL"]) + ")")
 add("decision_cases", f"SELECT {K}, primary_driver, action_level FROM f_action WHERE primary_driver IS NOT NULL")
 CARDS = f"""SELECT {K}, sample_count, {nums('adjustment adjusted_readiness_score')} FROM f_calibrated c
   WHERE window_start = (SELECT MAX(window_start) FROM f_calibrated x WHERE x.kpi = c.kpi AND x.region = c.region)"""

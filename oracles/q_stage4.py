@@ -20,12 +20,12 @@ def same(a: str, b: str) -> str:
 
 
 CTE["anchor_word"] = """
-  SELECT r_name AS region, regexp_extract(lower(html), '<title>[^a-z]*([a-z]+)', 1) AS word FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS rn FROM pages) JOIN region ON r_regionkey = page_id % 5
-  WHERE rn = 1"""
+  SELECT r_name AS region, word FROM (SELECT rk, word, ROW_NUMBER() OVER (PARTITION BY rk ORDER BY COUNT(*) DESC, word) AS rn FROM (
+      SELECT page_id % 5 AS rk, regexp_extract(lower(html), '<title>[^a-z]*([a-z]+)', 1) AS word FROM pages) WHERE word <> '' GROUP BY 1, 2)
+  JOIN region ON r_regionkey = rk WHERE rn = 1"""
 
 CTE["pool0"] = f"""
-  SELECT e.*, a.primary_component, CASE WHEN year(e.window_start) % 2 = 1 AND w.word <> '' THEN w.word END AS anchor,
+  SELECT e.*, a.primary_component, w.word AS anchor,
          bool_or(COALESCE(e.component = a.primary_component, FALSE)) OVER (PARTITION BY e.kpi, e.region, e.window_start) AS own,
          e.evidence_mode <> 'insufficient_evidence' AND NOT starts_with(e.model_status, 'insufficient')
            AND e.evidence_score > 1e-12 AND e.direction_consistency <> 'contradictory' AS has_evidence
@@ -80,14 +80,14 @@ CTE["plan0"] = f"""
 
 CTE["plan_all"] = f"""
   SELECT *, ext IS NOT NULL AS can_search,
-         CASE ext WHEN 'weather_index' THEN region || ' ' || window_start || ' weather rainfall rain storm'
-                  WHEN 'competitor_price_index' THEN anchor || ' ' || region || ' ' || window_start || ' competitor price pricing discount' END AS policy_query,
+         CASE ext WHEN 'weather_index' THEN region || ' ' || window_start || ' weather rainfall rain storm cyclone flood flooding disruption'
+                  WHEN 'competitor_price_index' THEN anchor || ' ' || region || ' ' || window_start || ' competitor price pricing discount promotion launch repricing' END AS policy_query,
          CASE WHEN ext IS NOT NULL THEN CASE WHEN second IS NOT NULL THEN
-             'What public evidence around the incident could distinguish ' || first || ' from ' || second || ' in ' || region || '?'
-             ELSE 'What public evidence around the incident could verify whether ' || CASE ext WHEN 'weather_index' THEN 'weather disruption' ELSE 'competitor action' END
-               || ' was present in ' || region || '?' END END AS web_question,
-         CASE WHEN second IS NOT NULL THEN 'What independently verifiable record could distinguish ' || first || ' from ' || second || ' during the incident window?'
-              ELSE 'What independently verifiable record could confirm whether ' || first || ' was active during the incident window?' END AS own_question
+             'Which public records from around that time tell ' || first || ' and ' || second || ' apart in ' || region || '?'
+             ELSE 'Which public records from around that time show whether there was ' || CASE ext WHEN 'weather_index' THEN 'weather disruption' ELSE 'competitor action' END
+               || ' in ' || region || '?' END END AS web_question,
+         CASE WHEN second IS NOT NULL THEN 'Which record outside this model tells ' || first || ' and ' || second || ' apart for those days?'
+              ELSE 'Which record outside this model shows whether ' || first || ' was at work on those days?' END AS own_question
   FROM plan0"""
 
 CTE["plan"] = f"""
@@ -164,7 +164,7 @@ add("corpus_search", """
     SELECT *, ROW_NUMBER() OVER (PARTITION BY query, CASE WHEN tk = '' THEN CAST(doc_id AS VARCHAR) ELSE tk END ORDER BY raw_rank) AS dup FROM (
       SELECT query, doc_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS tk,
              ROW_NUMBER() OVER (PARTITION BY query ORDER BY len(list_intersect(terms, has)) DESC, doc_id) AS raw_rank
-      FROM bench_query JOIN doc_words ON list_contains(has, anchor)) WHERE raw_rank <= 10) WHERE dup = 1
+      FROM bench_query JOIN doc_words ON CASE WHEN anchor IS NULL THEN len(list_intersect(terms, has)) > 0 ELSE list_contains(has, anchor) END)) WHERE dup = 1
   QUALIFY search_rank <= 5""")
 
 CTE["place_words"] = f"""
@@ -177,7 +177,7 @@ CTE["raw_hits"] = f"""
   SELECT * FROM (SELECT s.kpi, s.region, s.window_start, s.retrieval_query, d.doc_id, d.source_url, d.title,
       trim(regexp_replace(lower(d.title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS tk,
       ROW_NUMBER() OVER (PARTITION BY s.kpi, s.region, s.window_start ORDER BY len(list_intersect(s.terms, d.has)) DESC, d.doc_id) AS raw_rank
-    FROM web_search s JOIN place_words d ON list_has_all(d.has, s.anchor_words)) WHERE raw_rank <= 10"""
+    FROM web_search s JOIN place_words d ON list_has_all(d.has, s.anchor_words))"""
 CTE["walk"] = f"""
   SELECT {K}, CAST(0 AS BIGINT) AS step_no, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS titles, CAST([] AS BIGINT[]) AS docs FROM web_search
   UNION ALL

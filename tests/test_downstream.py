@@ -142,8 +142,8 @@ def test_reserved_slot_and_gate(spark):
 def test_plan_from_policy(spark):
     r = one(X.plans(stage(spark)["context"]))
     assert (r.retrieval_target, r.planner_status) == ("web", "policy_fallback")
-    assert r.retrieval_query == "Delhi 2024-08-19 weather rainfall rain storm"
-    assert "marketing_spend from weather_index in Delhi?" in r.clarification_question
+    assert r.retrieval_query == "Delhi 2024-08-19 weather rainfall rain storm cyclone flood flooding disruption"
+    assert "marketing_spend and weather_index apart in Delhi?" in r.clarification_question
 
 
 COMP = [dict(driver="competitor_price_index", softmax_probability=.65), dict(driver="average_discount_pct", softmax_probability=.31)]
