@@ -1,10 +1,14 @@
-"""Queries over the fitted kernels; these have no SQL restatement."""
+"""Queries over the detected changepoints and the fitted kernels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from causeway.operators import evaluate as Q
+from causeway.operators.series import INCIDENT
 from causeway.plans.catalog import query, show
+from causeway.plans.q_decision import joined
+from causeway.plans.q_evaluate import truth
 from causeway.plans.workspace import Workspace
 
 PAIR = "kpi region window_start component driver"
@@ -16,6 +20,24 @@ def changepoints(w: Workspace) -> DataFrame:
                 "segment_mean_before segment_mean_after shift_magnitude", 4)
 
 
+@query
+def detected_recall(w: Workspace) -> DataFrame:
+    """The detector's output against the scenarios of the yearly largest shifts."""
+    return show(Q.changepoint_recall(truth(w), w.changepoints), "hits total", "recall")
+
+
+@query
+def detected_decomposition(w: Workspace) -> DataFrame:
+    return show(w.detected.decomposed, "kpi region window_start decomposition_type is_material is_volatile",
+                "total_change:4 effect_a:4 effect_b:4 interaction_effect:4 percent_change:5")
+
+
+@query
+def detected_health(w: Workspace) -> DataFrame:
+    return w.detected.verdicts.select(*INCIDENT, *joined("observed_sources", "missing_sources", "stale_sources"), "healthy",
+                                      "health_status", "freshness_gap_days")
+
+
 @query
 def stationarity(w: Workspace) -> DataFrame:
     return w.model.select(*PAIR.split(), "driver_differenced", "component_differenced")
