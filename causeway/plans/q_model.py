@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from causeway.operators import evaluate as Q
 from causeway.operators.series import INCIDENT
 from causeway.plans.catalog import query, show
 from causeway.plans.q_decision import joined
 from causeway.plans.q_evaluate import truth
+from causeway.plans.job import CHANGEPOINT, run
 from causeway.plans.workspace import Workspace
+from causeway.session import checkpoint_root
+from causeway.sources.raw import store
+from causeway.sources.tables import Tables
 
 PAIR = "kpi region window_start component driver"
 
@@ -54,3 +61,39 @@ def driver_evidence(w: Workspace) -> DataFrame:
     """Evidence of every detected changepoint, with the fitted model."""
     return show(w.detected.evidence, f"{PAIR} evidence_mode model_status direction_consistency is_significant "
                 "best_lag_days", "evidence_score normalized_score softmax_probability", 5)
+
+
+def scratch(w: Workspace) -> Tables:
+    return Tables(w.spark, f"{checkpoint_root(w.spark)}/causeway/{w.spark.sparkContext.applicationId}/tables-{uuid.uuid4().hex}")
+
+
+@query
+def stored_run(w: Workspace) -> DataFrame:
+    """The facts stored as raw tables, a run over these alone, and what it stored of the decomposition."""
+    tables = scratch(w)
+    store(tables, w.facts)
+    run(tables)
+    run(tables)  # a second run replaces, it does not add
+    return show(tables.read("pvm_decomposition"), "kpi region window_start decomposition_type is_material is_volatile",
+                "total_change:4 effect_a:4 effect_b:4 interaction_effect:4 percent_change:5")
+
+
+@query
+def stored_telemetry(w: Workspace) -> DataFrame:
+    tables = scratch(w)
+    store(tables, w.facts)
+    run(tables)
+    return tables.read("runtime_telemetry").groupBy("operation_name", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def stored_changes(w: Workspace) -> DataFrame:
+    """A stored table after an upsert of one KPI, an update of one region and a removal of another."""
+    tables, name = scratch(w), "detected_changepoints"
+    rows = w.incidents.select("kpi", "region", F.col("window_start").alias("changepoint_date"), F.lit("first").alias("method"))
+    tables.upsert("analysis", name, rows, CHANGEPOINT)
+    tables.upsert("analysis", name, rows.filter("kpi = 'revenue'").withColumn("method", F.lit("second")), CHANGEPOINT)
+    tables.update("analysis", name, rows.filter("region = 'ASIA'").withColumn("method", F.lit("third")), CHANGEPOINT)
+    tables.delete("analysis", name, F.col("region") == "EUROPE")
+    tables.append("analysis", name, rows.filter("region = 'AFRICA'").withColumn("method", F.lit("log")))
+    return tables.read(name).select(*CHANGEPOINT, "method")

@@ -45,13 +45,14 @@ class Workspace:
     fitted model.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str | None = None, facts=None, cutoff: dt.datetime | None = None):
+        """Over the test tables at ``path``, or over ``facts``: any object with the raw schema's frames (``RawFacts``)."""
         self.spark = tune(spark)
-        self.facts = Testbed(spark, path)
+        self.facts = Testbed(spark, path) if facts is None else facts
         self.contracts = load_contracts()
         self.policy = load_policy()
         self.playbook = load_playbook()
-        self.cutoff = dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
+        self.cutoff = cutoff or dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
 
     @cached_property
     def mart_plan(self) -> DataFrame:
@@ -326,7 +327,12 @@ class DetectedRun(Workspace):
     def __init__(self, base: Workspace):
         self.__dict__.update(spark=base.spark, facts=base.facts, contracts=base.contracts, policy=base.policy,
                              playbook=base.playbook, cutoff=base.cutoff,
-                             health=base.health, corpus=base.corpus, mart=base.mart, changepoints=base.changepoints)
+                             health=base.health, mart=base.mart, changepoints=base.changepoints)
+        self.base = base
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return self.base.corpus
 
     @cached_property
     def incidents(self) -> DataFrame:

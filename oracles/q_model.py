@@ -81,3 +81,9 @@ add("detected_recall", """SELECT COUNT(*) FILTER (hit) AS hits, COUNT(*) AS tota
 ORACLES["detected_decomposition"] = detected(
     f"SELECT {K}, decomposition_type, is_material, is_volatile, {nums('total_change:4 effect_a:4 effect_b:4 interaction_effect:4 percent_change:5')} FROM changes")
 ORACLES["detected_health"] = detected(f"SELECT {K}, observed_sources, missing_sources, stale_sources, healthy, health_status, freshness_gap_days FROM verdict")
+ORACLES["stored_run"] = ORACLES["detected_decomposition"]
+add("stored_telemetry", "SELECT unnest(['detect changepoints', 'decompose', 'score drivers', 'decide']) AS operation_name, 'success' AS status, 1 AS n FROM (SELECT COUNT(*) FROM region)")
+add("stored_changes", """
+  SELECT kpi, region, window_start AS changepoint_date, CASE WHEN region = 'ASIA' THEN 'third' WHEN kpi = 'revenue' THEN 'second' ELSE 'first' END AS method
+  FROM incidents WHERE region <> 'EUROPE'
+  UNION ALL SELECT kpi, region, window_start, 'log' FROM incidents WHERE region = 'AFRICA'""")
