@@ -48,16 +48,18 @@ def retrieval_plan(w: Workspace) -> DataFrame:
 
 def proposals(w: Workspace) -> DataFrame:
     """Planner proposals of several kinds, good and bad, chosen by the incident's date."""
-    kind = F.datediff("window_start", F.lit("1995-01-01").cast("date")) % 6
-    day = F.col("window_start").cast("string")
+    kind = F.datediff("window_start", F.lit("1995-01-01").cast("date")) % 15
+    day, region = F.col("window_start").cast("string"), F.col("region")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     return w.incidents.select(
         *INCIDENT,
         F.when(kind == 0, "What changed? And why?").when(kind == 1, "Did the coefficient move?")
-        .otherwise(F.concat(F.lit("What happened in "), F.col("region"), F.lit("?"))).alias("clarification_question"),
-        F.when(kind == 2, F.concat(F.lit("storm rainfall "), F.col("region"), F.lit(" "), day))
-        .when(kind == 3, F.concat(F.lit("storm "), F.col("region"), F.lit(" 2031")))
-        .when(kind == 4, F.lit("unrelated words only")).alias("retrieval_query"),
-        F.when(kind == 5, "internal").otherwise("web").alias("retrieval_target"))
+        .when(kind == 6, "What " + "really " * 80 + "happened?").otherwise(said("What happened in ", region, "?")).alias("clarification_question"),
+        F.when(kind == 2, said("storm rainfall ", region, " ", day)).when(kind == 3, said("storm ", region, " 2031"))
+        .when(kind == 4, "unrelated words only").when(kind == 9, said("was there a storm in ", region, "?"))
+        .when(kind == 10, said("storm " * 26, region)).when(kind == 11, said("storm p-value ", region)).when(kind == 12, said("storm ", F.col("kpi")))
+        .when(kind == 13, said("storm ", region)).when(kind == 14, said("competitor price ", region, " ", day)).alias("retrieval_query"),
+        F.when(kind.isin(5, 13), "internal").when(kind == 7, "mail").otherwise("web").alias("retrieval_target"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from causeway.functions.wording import MODEL_TERMS
 from oracles.base import CTE, build
 from oracles.q_mart import nums
 
@@ -96,16 +97,51 @@ CTE["plan"] = f"""
          CASE WHEN can_search THEN 'policy_fallback' ELSE 'safe_fallback' END AS planner_status
   FROM plan_all p JOIN gates g ON {same('p', 'g')} WHERE g.clarification_needed"""
 
+TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(replace({t}, '_', ' ')), '[a-z0-9]+'), lambda x: length(x) >= 3))"
+_TERMS = "[" + ", ".join(f"'{t}'" for t in MODEL_TERMS) + "]"
+CTE["words_of"] = f"""
+  SELECT {K}, COALESCE(string_agg(driver || ' ' || component || ' ' || CASE WHEN eligible THEN CASE driver WHEN 'weather_index' THEN 'weather_disruption'
+             WHEN 'competitor_price_index' THEN 'competitor_action' ELSE '' END ELSE '' END, ' '), '') AS names,
+         COALESCE(string_agg(CASE WHEN open_scope = 'internal' THEN '' WHEN driver = 'weather_index' THEN
+             'weather rainfall rain storm cyclone flood flooding disruption weather_index weather_disruption'
+           ELSE 'competitor price pricing discount promotion launch repricing competitor_price_index competitor_action' END, ' '), '') AS allowed
+  FROM cands GROUP BY ALL"""
 CTE["proposal"] = f"""
-  SELECT *, CASE kind WHEN 0 THEN 'What changed? And why?' WHEN 1 THEN 'Did the coefficient move?' ELSE 'What happened in ' || region || '?' END AS q,
-         CASE kind WHEN 2 THEN 'storm rainfall ' || region || ' ' || window_start WHEN 3 THEN 'storm ' || region || ' 2031' WHEN 4 THEN 'unrelated words only' END AS s
-  FROM (SELECT *, (window_start - DATE '1995-01-01') % 6 AS kind FROM plan_all)"""
+  SELECT p.*, names, allowed, p.kpi || ' ' || p.region || ' ' || p.window_start || ' ' || names || ' ' || COALESCE(anchor, '') AS known,
+         CASE kind WHEN 0 THEN 'What changed? And why?' WHEN 1 THEN 'Did the coefficient move?' WHEN 6 THEN 'What ' || repeat('really ', 80) || 'happened?'
+           ELSE 'What happened in ' || p.region || '?' END AS q,
+         CASE kind WHEN 2 THEN 'storm rainfall ' || p.region || ' ' || p.window_start WHEN 3 THEN 'storm ' || p.region || ' 2031' WHEN 4 THEN 'unrelated words only'
+           WHEN 9 THEN 'was there a storm in ' || p.region || '?' WHEN 10 THEN repeat('storm ', 26) || p.region WHEN 11 THEN 'storm p-value ' || p.region
+           WHEN 12 THEN 'storm ' || p.kpi WHEN 13 THEN 'storm ' || p.region WHEN 14 THEN 'competitor price ' || p.region || ' ' || p.window_start END AS s,
+         CASE WHEN kind IN (5, 13) THEN 'internal' WHEN kind = 7 THEN 'mail' ELSE 'web' END AS target
+  FROM (SELECT *, (window_start - DATE '1995-01-01') % 15 AS kind FROM plan_all) p JOIN words_of w ON {same('p', 'w')}"""
+
+
+def has(text: str, words: str) -> str:
+    return f"len(list_filter({words}, lambda t: contains(lower({text}), t))) > 0"
+
+
+def problem(q: str, s: str, target: str) -> str:
+    """The fourteen rules of a plan, in their order, over a proposal's texts."""
+    mine, known = TOKENS.format(t=s), TOKENS.format(t="known")
+    years, dates = "regexp_extract_all({t}, '\\b(?:19|20)\\d{{2}}\\b')", "regexp_extract_all({t}, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b')"
+    web = f"{target} = 'web'"
+    inside = lambda f: f"list_has_all({f.format(t='known')}, {f.format(t=s)})"
+    return f"""CASE WHEN trim(COALESCE({q}, '')) = '' OR length({q}) - length(replace({q}, '?', '')) <> 1 THEN 'clarification question must contain exactly one question'
+      WHEN length(trim({q})) > 420 THEN 'clarification question is too long'
+      WHEN {has(q, _TERMS)} THEN 'clarification question references model-internal statistics'
+      WHEN {target} NOT IN ('web', 'internal', 'none') THEN 'invalid retrieval target'
+      WHEN {web} AND {s} IS NULL THEN 'web retrieval requires a query'
+      WHEN {web} AND contains({s}, '?') THEN 'web query must be search-oriented rather than a question'
+      WHEN {web} AND (length({s}) > 180 OR len(string_split_regex({s}, '\\s+')) > 24) THEN 'web query is too long'
+      WHEN {web} AND {has(s, _TERMS)} THEN 'web query references model-internal statistics'
+      WHEN {web} AND NOT (len(list_intersect({mine}, {known})) > 0 AND {inside(dates)} AND {inside(years)}) THEN 'web query is not grounded in supplied context'
+      WHEN {web} AND NOT (list_has_all({mine}, {TOKENS.format(t='region')}) OR (anchor IS NOT NULL AND len({TOKENS.format(t='anchor')}) > 0
+        AND list_has_all({mine}, {TOKENS.format(t='anchor')}))) THEN 'web query does not contain a supplied external anchor'
+      WHEN {web} AND NOT can_search THEN 'candidate hypotheses are not externally verifiable'
+      WHEN {web} AND len(list_intersect({mine}, {TOKENS.format(t='allowed')})) = 0 THEN 'web query does not match an externally searchable hypothesis'
+      WHEN {target} <> 'web' AND {s} IS NOT NULL THEN 'non-web retrieval target must use a null query' END"""
 
-BAD = """CASE kind WHEN 0 THEN 'clarification question must contain exactly one question'
-  WHEN 1 THEN 'clarification question references model-internal statistics'
-  WHEN 2 THEN CASE WHEN NOT can_search THEN 'candidate hypotheses are not externally verifiable'
-                   WHEN NOT weather_open THEN 'web query does not match an externally searchable hypothesis' END
-  WHEN 3 THEN 'web query is not grounded in supplied context' WHEN 4 THEN 'web query is not grounded in supplied context' END"""
 
 add("clarification_gate", "SELECT * FROM gates")
 add("web_eligibility", f"SELECT {K}, component, driver, scope, has_evidence, eligible FROM pool")
@@ -117,18 +153,19 @@ add("retrieval_context", f"""SELECT c.kpi, c.region, c.window_start,
   CASE WHEN c.eligible THEN CASE c.driver WHEN 'weather_index' THEN 'weather_disruption' WHEN 'competitor_price_index' THEN 'competitor_action' END END AS external_hypothesis
   FROM cands c JOIN action a ON {same('c', 'a')}""")
 add("retrieval_plan", "SELECT * FROM plan")
-add("plan_validation", f"SELECT {K}, COALESCE({BAD}, 'valid') AS verdict FROM proposal")
+add("plan_validation", f"SELECT {K}, COALESCE({problem('q', 's', 'target')}, 'valid') AS verdict FROM proposal")
 add("plan_normalisation", f"""
   SELECT {K}, CASE WHEN bad IS NULL THEN q ELSE COALESCE(web_question, own_question) END AS clarification_question,
-         CASE WHEN bad IS NOT NULL OR kind = 5 THEN policy_query WHEN can_search THEN s END AS retrieval_query,
-         CASE WHEN can_search THEN 'web' WHEN bad IS NULL THEN 'internal' ELSE 'none' END AS retrieval_target,
+         CASE WHEN bad IS NULL THEN p_query ELSE policy_query END AS retrieval_query,
+         CASE WHEN bad IS NULL THEN p_target WHEN can_search THEN 'web' ELSE 'none' END AS retrieval_target,
          CASE WHEN bad IS NULL THEN 'generated' WHEN can_search THEN 'policy_fallback' ELSE 'safe_fallback' END AS planner_status,
-         CASE WHEN bad IS NOT NULL THEN 'planner output rejected: ' || bad
-              WHEN kind = 5 AND can_search THEN 'planner route normalized by external retrieval policy'
-              WHEN kind <> 5 AND NOT can_search THEN 'web plan downgraded to internal: candidate hypotheses are not externally verifiable' END AS planner_reason
-  FROM (SELECT *, CASE WHEN kind IN (2, 3, 4) AND NOT can_search THEN NULL ELSE {BAD} END AS bad FROM proposal)""")
+         CASE WHEN bad IS NOT NULL THEN 'planner output rejected: ' || bad WHEN up THEN 'planner route normalized by external retrieval policy'
+              WHEN target = 'web' AND p_target = 'internal' THEN 'web plan downgraded to internal: candidate hypotheses are not externally verifiable' END AS planner_reason
+  FROM (SELECT *, {problem('q', 'p_query', 'p_target')} AS bad FROM (
+    SELECT *, CASE WHEN up THEN policy_query WHEN p_target = 'web' THEN s END AS p_query FROM (
+      SELECT *, CASE WHEN target = 'web' AND NOT can_search THEN 'internal' WHEN up THEN 'web' ELSE target END AS p_target FROM (
+        SELECT *, target IN ('internal', 'none') AND can_search AS up FROM proposal))))""")
 
-TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(replace({t}, '_', ' ')), '[a-z0-9]+'), lambda x: length(x) >= 3))"
 add("query_words", f"""SELECT doc_id, CAST(len({TOKENS.format(t='text')}) AS BIGINT) AS n_words,
   COALESCE(array_to_string(list_sort({TOKENS.format(t='text')}), ' '), '') AS words,
   COALESCE(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(?:19|20)\\d{{2}}\\b'))), ' '), '') AS years,
