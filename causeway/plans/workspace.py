@@ -30,7 +30,7 @@ from causeway.operators.changepoints import detect
 from causeway.operators.model import fitted_model
 from causeway.operators.narrative import narrate
 from causeway.operators.series import INCIDENT
-from causeway.session import tune, write_layer
+from causeway.session import drop_layers, tune, write_layer
 from causeway.sources.contracts import (
     driver_dim, driver_names, load_contracts, load_playbook, load_policy, playbook_dim,
     policy_dim, source_dim)
@@ -353,6 +353,8 @@ def workspace(spark: SparkSession, path: str) -> Workspace:
     return _OPEN[key]
 
 
-def forget() -> None:
-    """Drop the memo, e.g. before timing a query on its own or after the tables changed."""
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop the memo, e.g. before timing a query on its own or after the tables changed; with a session, its layers too."""
     _OPEN.clear()
+    if spark is not None:
+        drop_layers(spark)

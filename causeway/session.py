@@ -59,3 +59,9 @@ def write_layer(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/causeway/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_layers(spark: SparkSession) -> None:
+    """Remove the layers that this application has written. Frames that read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/causeway/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

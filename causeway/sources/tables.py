@@ -64,8 +64,12 @@ class Tables:
     def clear(self, layer: str, name: str) -> None:
         """Empty a derived table but keep its schema and its partitioning."""
         self.guard(layer, name)
-        out = self.spark.createDataFrame([], self.read(name).schema).write.mode("overwrite")
-        (out.partitionBy("kpi") if "kpi" in self.read(name).columns else out).parquet(self.path(name))
+        none = self.spark.createDataFrame([], self.read(name).schema)
+        if "kpi" not in none.columns:
+            none.write.mode("overwrite").parquet(self.path(name))
+            return
+        none.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("kpi").parquet(self.path(name))
+        none.drop("kpi").write.parquet(f"{self.path(name)}/kpi=__HIVE_DEFAULT_PARTITION__")  # an empty file that carries the schema
 
     def swap(self, layer: str, name: str, df: DataFrame, touched: DataFrame | None) -> None:
         """Write a result that was read from the table itself: staged first, then swapped in.

@@ -250,3 +250,44 @@ def test_language_audit_finds_bad_rows(spark):
                                  INC + ", persona string, headline string, narrative string, caveats array<string>")
     found = {r.violation for r in Q.language_violations(bad, told).collect()}
     assert len(found) == 6 and "Executive: narration contains model jargon" in found
+
+
+def test_search_keeps_five_sources_behind_fifty_copies(spark):
+    rows = [(k, f"u{k}", "Same title", "delhi storm rain flood") for k in range(50)]
+    rows += [(100 + k, "one-url", f"Title {k}", "delhi storm rain flood") for k in range(20)]
+    rows += [(200 + k, f"v{k}", f"Other {k}", "delhi storm") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, source_url string, title string, body string")
+    ask = spark.createDataFrame([("delhi storm rain flood", "Delhi"), ("storm rain", None), ("nothing known", "Mumbai")], "query string, anchor string")
+    got = K.search(docs, ask).collect()
+    best = sorted((r.search_rank, r.doc_id) for r in got if r.search.startswith("delhi"))
+    assert best == [(1, 0), (2, 100), (3, 200), (4, 201), (5, 202)]
+    assert [r.doc_id for r in sorted((r for r in got if r.search == "storm rain"), key=lambda r: r.search_rank)] == [0, 100, 200, 201, 202]
+    assert not any(r.search == "nothing known" for r in got)
+
+
+def test_isolation_sees_a_changed_and_a_missing_table(spark):
+    context = spark.createDataFrame([("feed",), ("orchestrator_retrieval",)], "source_type string")
+    kind = "table_name string, row_count long, content_sum string"
+    stored = spark.createDataFrame([("orders", 5, "1:2"), ("part", 3, "4:4"), ("nation", 2, "9:9")], kind)
+    now = spark.createDataFrame([("orders", 5, "1:3"), ("part", 3, "4:4")], kind)
+    assert tuple(one(Q.isolation(context, stored, stored))) == (1, 3, 0)
+    assert tuple(one(Q.isolation(context, stored, now))) == (1, 3, 2)
+
+
+def test_window_status_names_every_incident(spark):
+    from causeway.operators.decompose import window_status
+    keys = [(f"k{i}", "r", KEY["window_start"]) for i in range(4)]
+    incidents = spark.createDataFrame(keys, "kpi string, region string, window_start date")
+    levels = spark.createDataFrame([(*keys[0], 5, 5), (*keys[0], 4, 2), (*keys[1], 0, 5), (*keys[2], 3, 0)],
+                                   "kpi string, region string, window_start date, history_rows long, incident_rows long")
+    got = {r.kpi: r.status for r in window_status(incidents, levels).collect()}
+    assert got == {"k0": "analysed", "k1": "no_history", "k2": "no_incident_rows", "k3": "no_data"}
+
+
+def test_nearest_window_takes_the_earlier_on_a_tie(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    evidence = spark.createDataFrame([("k", "r", day(d), "x") for d in (2, 10, 10, 20)], "kpi string, region string, window_start date, driver string")
+    truth = spark.createDataFrame([("a", "k", "r", day(6)), ("b", "k", "r", day(7)), ("c", "k", "r", day(1)), ("d", "k", "r", day(30)), ("e", "k", "other", day(1)), ("f", "k", "r", day(10))],
+                                  "scenario_id string, kpi string, region string, changepoint_date date")
+    got = {r.scenario_id: r.window_start.day for r in Q.closest_window(truth, evidence).collect()}
+    assert got == {"a": 2, "b": 10, "c": 2, "d": 20, "f": 10}
