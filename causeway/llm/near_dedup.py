@@ -38,7 +38,7 @@ from causeway.session import write_layer
 SHINGLE = 5
 BANDS = 28
 ROWS = 6
-BLOCK_DOCS = 256
+BLOCK_DOCS = 128
 BLOCK_BYTES = 1 << 22
 
 
@@ -181,7 +181,8 @@ def verified(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text
     sizes = groups.groupBy("component").agg(weight.alias("blocks"))
     placed = (groups.join(sizes, "component")
               .select(F.col("doc_id"), "component", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int").alias("block")))
-    texts = placed.join(packed(docs, id_col, text_col), "doc_id").dropDuplicates(["doc_id"])
+    # the placed documents grow with the corpus, so this side is never to be broadcast
+    texts = packed(docs, id_col, text_col).join(placed.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     pairs = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "z",
                      F.length("z").cast("long").alias("bytes")))
