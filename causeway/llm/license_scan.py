@@ -65,8 +65,9 @@ def template_lines(spark: SparkSession, templates: dict[str, list[str]]) -> Data
 def classified(found: DataFrame, templates: DataFrame, min_cosine: float) -> DataFrame:
     """(header, rank, license, cosine): the best template of each distinct header, where one is near enough."""
     distinct = found.groupBy("header").agg(F.count(F.lit(1)).alias("copies"))
-    seen = distinct.select("header", F.col("copies").cast("double").alias("copies")).unionByName(templates.select("header", F.lit(1.0).alias("copies")))
-    counted = seen.select("header", "copies", F.explode(terms(F.col("header"))).alias("term")).groupBy("header", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
+    seen = (distinct.select("header", F.col("copies").cast("double").alias("copies"), F.lit("corpus").alias("origin"))
+            .unionByName(templates.select("header", F.lit(1.0).alias("copies"), F.lit("template").alias("origin"))))
+    counted = seen.select("header", "copies", "origin", F.explode(F.array_distinct(terms(F.col("header")))).alias("term"))
     total = seen.agg(F.coalesce(F.sum("copies"), F.lit(0.0)).alias("n")).first()["n"]
     idf = counted.groupBy("term").agg((F.log(F.lit(1.0 + total) / (1 + F.sum("copies"))) + 1).alias("idf"))
     idf = write_layer(idf, "license-idf")

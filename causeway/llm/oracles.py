@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from causeway.llm.license_scan import HEADER, TEMPLATES
+
 SPACED = r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,33 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
+
+_LINES = ", ".join(f"({k}, '{name}', '{line}')" for k, (name, lines) in enumerate(TEMPLATES.items()) for line in lines)
+
+ORACLES["op8_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'), doc_id::VARCHAR) AS path, text,
+  len(regexp_extract_all(text, '{SPACED}')) AS n_words FROM documents),
+f AS (SELECT doc_id, n_words, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{HEADER}')))) AS header FROM d),
+t AS (SELECT * FROM (VALUES {_LINES}) v(rank, license, header)),
+h AS (SELECT header, count(*) AS copies FROM f GROUP BY header),
+s AS (SELECT header, copies::DOUBLE AS copies FROM h UNION ALL SELECT header, 1.0 FROM t),
+i AS (SELECT term, ln((1 + (SELECT sum(copies) FROM s)) / (1 + sum(copies))) + 1 AS idf
+      FROM (SELECT copies, unnest(list_distinct(regexp_extract_all(lower(header), '[a-z0-9]+'))) AS term FROM s) GROUP BY term),
+v AS (SELECT header, term, count(*) * idf AS w FROM (SELECT header, unnest(regexp_extract_all(lower(header), '[a-z0-9]+')) AS term
+      FROM (SELECT header FROM h UNION SELECT header FROM t)) JOIN i USING (term) GROUP BY header, term, idf),
+n AS (SELECT header, sqrt(sum(w * w)) AS norm FROM v GROUP BY header),
+c AS (SELECT a.header, t.rank, t.license, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) AS cosine
+      FROM h JOIN v a ON a.header = h.header JOIN v b ON a.term = b.term JOIN t ON t.header = b.header
+      JOIN n x ON x.header = a.header JOIN n y ON y.header = b.header GROUP BY a.header, t.rank, t.license, t.header),
+k AS (SELECT header, rank, license, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY header ORDER BY cosine DESC, rank) = 1),
+o AS (SELECT doc_id, license, cosine, share FROM (SELECT *, sum(len(regexp_extract_all(header, '{SPACED}'))) OVER (PARTITION BY doc_id) >= 0.5 * n_words AS share,
+        row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, rank) AS rn FROM f JOIN k USING (header)) WHERE rn = 1),
+p AS (SELECT d.doc_id, path, license, cosine, share, string_split(path, '/') AS parts FROM d LEFT JOIN o USING (doc_id)),
+r AS (SELECT array_to_string(list_slice(parts, 1, len(parts) - 1), '/') AS dir, arg_min(license, doc_id) AS dir_license FROM p WHERE share GROUP BY 1),
+a AS (SELECT doc_id, unnest(range(len(parts))) AS depth, parts FROM p WHERE license IS NULL),
+b AS (SELECT doc_id, dir, dir_license FROM a JOIN r ON r.dir = array_to_string(list_slice(parts, 1, depth), '/')
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth DESC) = 1)
+SELECT doc_id, coalesce(license, dir_license) AS license, CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  cosine, CASE WHEN license IS NULL THEN dir END AS license_dir
+FROM p LEFT JOIN b USING (doc_id)
+"""
