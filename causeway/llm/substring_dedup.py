@@ -12,8 +12,10 @@ everything such a node covers is a repeat. The suffixes are split into groups th
    leaves of a deep internal node.
 3. A larger group is split by longer prefixes. As every leaf pair in question agrees on all of its
    ``window`` words, the prefix is extended to just that length (128-bit digests): each group is
-   then a single node, and counting its leaves replaces the subtree. Counts combine before the
-   shuffle, so a passage shared by a third of all documents is no hot spot.
+   then a single node, and counting its leaves replaces the subtree. The group's pieces are dealt
+   out in blocks first: what repeats inside a block is found by the block's own subtree, and a block
+   sends each prefix once with its count, so a passage shared by a third of all documents is no hot
+   spot; only a prefix that is single in its block waits for the counts of the others.
 
 Texts with the same words stand for one class; if it has two members or more, all of its windows
 repeat and only its first member takes part in the search for the others.
@@ -38,7 +40,7 @@ from causeway.session import write_layer
 
 WINDOW = 35
 ANCHOR = 8
-GROUP_PIECES = 500
+GROUP_PIECES = 32_768
 _PLACE = 30
 
 
@@ -95,21 +97,48 @@ def texts_of(table: pa.Table) -> Iterator[tuple[Chunk, Words, np.ndarray]]:
         yield c, w, w.hashes()
 
 
+def occurrences(survey: DataFrame) -> DataFrame:
+    """(key, n, doc_id, place, docs, places): where anchors occur, as ordinals in their documents.
+
+    The places that one batch of documents has of an anchor share a row, with lists where there is
+    more than one. So a passage that stands in many documents costs a row for each batch of them.
+    """
+    kind = survey.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, size, key = b.column(0), np.diff(b.column(1).offsets.to_numpy()), b.column(1).flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            row = np.repeat(np.arange(len(size)), size)[order]
+            place = (np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size))[order]
+            key = key[order]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+            n = np.diff(np.append(begin, len(key)))
+            several, held = np.repeat(n > 1, n), np.where(n > 1, n, 0)
+            bounds, single = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(n == 1)
+            lists = [pa.ListArray.from_arrays(bounds, v, mask=single) for v in (ids.take(pa.array(row[several])), pa.array(place[several]))]
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(n), ids.take(pa.array(row[begin])), pa.array(place[begin]), *lists],
+                                             names=["key", "n", "doc_id", "place", "docs", "places"])
+    return survey.select("doc_id", "keys").mapInArrow(run, f"key bigint, n bigint, doc_id {kind}, place bigint, docs array<{kind}>, places array<bigint>")
+
+
 def suspects(survey: DataFrame, group_pieces: int) -> DataFrame:
-    """(doc_id, at, hot): ordinals of the anchors that occur twice or more, and which of them are in a large group."""
-    one = survey.select("doc_id", F.posexplode("keys").alias("at", "key"))
-    counts = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hit = one.join(counts, "key").select("doc_id", "at", (F.col("n") > group_pieces).alias("hot"))
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.hot").alias("hot"))
+    """(doc_id, at, blocks): ordinals of the anchors that occur twice or more, and into how many blocks their group is to be cut."""
+    rows = occurrences(survey)
+    counts = rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
+    places = F.arrays_zip(F.coalesce("docs", F.array("doc_id")).alias("doc_id"), F.coalesce("places", F.array("place")).alias("place"))
+    hit = (rows.join(counts, "key").select(F.ceil(F.col("total") / group_pieces).cast("int").alias("blocks"), F.explode(places).alias("p"))
+           .select("p.doc_id", F.col("p.place").cast("int").alias("at"), "blocks"))
+    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "blocks"))).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.blocks").alias("blocks"))
 
 
 def pieces(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Texts of the runs of suspect suffixes: (key, doc_id, start, hot, text)."""
+    """Texts of the runs of suspect suffixes: (key, doc_id, start, blocks, text)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, hot = b.column(0), b.column(2), b.column(3)
+            ids, at, blocks = b.column(0), b.column(2), b.column(3)
             for c in chunks(unpack(b.column(1))):
                 w = words(c)
                 row, key, first, last = anchors(w, w.hashes(), window)
@@ -120,22 +149,22 @@ def pieces(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col
                 text = [data[x:y] for x, y in zip(w.start[first[pick]].tolist(), w.end[last[pick] + window - 1].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[pick].view(np.int64)), ids.take(pa.array(row[pick] + c.lo)), pa.array(first[pick] - w.first[row[pick]]),
-                     hot.slice(c.lo, c.hi - c.lo).flatten(), pa.array(text, pa.binary())], names=["key", "doc_id", "start", "hot", "text"])
-    texts = packed(docs, id_col, text_col).join(found, "doc_id").dropDuplicates(["doc_id"])
-    return texts.select("doc_id", "z", "at", "hot").mapInArrow(run, f"key bigint, doc_id {kind}, start bigint, hot boolean, text binary")
+                     blocks.slice(c.lo, c.hi - c.lo).flatten(), pa.array(text, pa.binary())], names=["key", "doc_id", "start", "blocks", "text"])
+    texts = packed(docs, id_col, text_col).join(found.hint("merge"), "doc_id").dropDuplicates(["doc_id"])  # both grow with the corpus
+    return texts.select("doc_id", "z", "at", "blocks").mapInArrow(run, f"key bigint, doc_id {kind}, start bigint, blocks int, text binary")
 
 
 def depth_nodes(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, node): suffixes of the pieces whose first ``window`` words others have too, by sorting the subtree's suffixes."""
     size = np.diff(first)
-    spaced = np.zeros(len(h) + len(size), np.int64)
+    spaced = np.zeros(len(h) + len(size), np.int32)
     home = np.arange(len(h)) + np.repeat(np.arange(len(size)), size)
     spaced[home] = np.unique(h, return_inverse=True)[1] + 1
     levels, span = [spaced], 1
     while span * 2 <= window:
-        pair = levels[-1] << 32
+        pair = levels[-1].astype(np.int64) << 32
         pair[:-span] |= levels[-1][span:]
-        levels.append(np.unique(pair, return_inverse=True)[1])
+        levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
         span *= 2
     suffix = np.flatnonzero(inside(first, window, len(h)))
     at, rank = home[suffix], None
@@ -181,25 +210,44 @@ def repeats(docs: DataFrame, survey: DataFrame, window: int = WINDOW, id_col: st
                 shift = table.column("start").to_numpy()[row] - w.first[row]
                 yield pa.RecordBatch.from_arrays([table.column("doc_id").take(pa.array(row)).combine_chunks(), pa.array(begin + shift), pa.array(end + shift)],
                                                  names=["doc_id", "begin", "end"])
-    small = parts.where("NOT hot").select("key", "doc_id", "start", "text", F.length("text").cast("long").alias("bytes"))
+    small = parts.where("blocks = 1").select("key", "doc_id", "start", "text", F.length("text").cast("long").alias("bytes"))
     grouped = small.repartition("key").sortWithinPartitions("key").mapInArrow(subtree, f"doc_id {kind}, begin bigint, end bigint")
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b.column(2)):
+        names = ["prefix_a", "prefix_b", "n", "doc_id", "begin", "end"]
+        for table, _ in sorted_groups(batches, 2, size="bytes", max_size=1 << 21):
+            table = table.combine_chunks()
+            ids, start = table.column("doc_id").chunk(0), table.column("start").to_numpy()
+            for c in chunks(table.column("text").chunk(0), 1 << 62):
                 w = words(c)
                 h = w.hashes()
-                g = grams(h, window)
+                suffix, _ = depth_nodes(h, w.first, window)
+                row, begin, end = spans_of(suffix, w.row[suffix], window)
+                none = pa.array(np.zeros(len(row), np.int64))
+                yield pa.RecordBatch.from_arrays([none, none, none, ids.take(pa.array(row)), pa.array(begin + start[row] - w.first[row]),
+                                                  pa.array(end + start[row] - w.first[row])], names=names)
+                g, other = grams(h, window), grams(mix(h ^ U64(0x5851F42D4C957F2D)), window)
                 at = np.flatnonzero(inside(w.first, window, len(g)))
-                row = w.row[at]
-                other = grams(mix(h ^ U64(0x5851F42D4C957F2D)), window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[at].view(np.int64)), pa.array(other[at].view(np.int64)), b.column(0).take(pa.array(row + c.lo)),
-                     pa.array(b.column(1).to_numpy()[row + c.lo] + at - w.first[row])], names=["prefix_a", "prefix_b", "doc_id", "begin"])
-    large = parts.where("hot").select("doc_id", "start", "text").mapInArrow(extended, f"prefix_a bigint, prefix_b bigint, doc_id {kind}, begin bigint")
-    nodes = large.groupBy("prefix_a", "prefix_b").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").drop("leaves")
-    leaves = large.join(nodes, ["prefix_a", "prefix_b"]).select("doc_id", "begin", (F.col("begin") + window).alias("end"))
-    return grouped.unionByName(leaves)
+                at = at[np.lexsort((other[at], g[at]))]
+                new = np.ones(len(at), bool)
+                new[1:] = (g[at[1:]] != g[at[:-1]]) | (other[at[1:]] != other[at[:-1]])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(at)))
+                at = at[first]
+                row, several = w.row[at], n > 1
+                place = at + start[row] - w.first[row]
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(n), ids.take(pa.array(row, mask=several)),
+                                                  pa.array(place, mask=several), pa.array(place + window, mask=several)], names=names)
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")
+    large = (parts.where("blocks > 1").select("key", block, "doc_id", "start", "text", F.length("text").cast("long").alias("bytes"))
+             .repartition("key", "block").sortWithinPartitions("key", "block")
+             .mapInArrow(extended, f"prefix_a bigint, prefix_b bigint, n bigint, doc_id {kind}, begin bigint, end bigint"))
+    large = write_layer(large, "substring-leaves")
+    prefix = ["prefix_a", "prefix_b"]
+    nodes = large.where("n > 0").groupBy(*prefix).agg(F.sum("n").alias("leaves")).where("leaves > 1").drop("leaves")
+    apart = large.where("n = 1").join(nodes, prefix)
+    spans = ["doc_id", "begin", "end"]
+    return grouped.unionByName(large.where("n = 0").select(*spans)).unionByName(apart.select(*spans))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -246,9 +294,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                                              names=["doc_id", "removed", "sha", "kept_text"])
     changed = packed(docs, id_col, text_col).join(spans, "doc_id").mapInArrow(run, f"doc_id {kind}, removed bigint, sha string, kept_text string")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    copies = classes.where("members > 1").select("digest", F.lit(True).alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
-    out = (survey.select("doc_id", "n_words", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("salt"))
-           .join(copies, ["digest", "salt"], "left").join(changed.dropDuplicates(["doc_id"]), "doc_id", "left"))
+    # one row for each digest on the right: a text that many documents share is split by the adaptive skew join
+    copies = classes.where("members > 1").select("digest", F.lit(True).alias("copied"))
+    out = (survey.select("doc_id", "n_words", "digest").join(copies, "digest", "left").join(changed.dropDuplicates(["doc_id"]), "doc_id", "left"))
     copied = F.col("copied").isNotNull()
     out = out.select("doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
                      F.when(copied, empty).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),
