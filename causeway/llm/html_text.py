@@ -70,7 +70,7 @@ def marks(tag: str, attrs: str, inside_article: bool) -> float:
         score = -0.5
     if tag in ("article", "main"):
         score += 2.5
-    if attrs:
+    if attrs and tag not in ("html", "body"):  # their classes speak of the page's layout
         names: set[str] = set()
         for m in ATTR.finditer(attrs):
             names.update(SPLIT.split(CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower()))
