@@ -154,26 +154,38 @@ def pieces(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col
     return texts.select("doc_id", "z", "at", "blocks").mapInArrow(run, f"key bigint, doc_id {kind}, start bigint, blocks int, text binary")
 
 
+def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, made a chunk at a time, and where each text's begin (with the end)."""
+    parts, sizes = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for c in chunks(column):
+        w = words(c)
+        parts.append(w.hashes())
+        sizes.append(np.diff(w.first))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
 def depth_nodes(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, node): suffixes of the pieces whose first ``window`` words others have too, by sorting the subtree's suffixes."""
     size = np.diff(first)
     spaced = np.zeros(len(h) + len(size), np.int32)
     home = np.arange(len(h)) + np.repeat(np.arange(len(size)), size)
     spaced[home] = np.unique(h, return_inverse=True)[1] + 1
-    levels, span = [spaced], 1
+    level, span = spaced, 1
+    needed = {1: level} if window & 1 else {}
     while span * 2 <= window:
-        pair = levels[-1].astype(np.int64) << 32
-        pair[:-span] |= levels[-1][span:]
-        levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
+        pair = level.astype(np.int64) << 32
+        pair[:-span] |= level[span:]
+        level = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         span *= 2
+        if window & span:
+            needed[span] = level
     suffix = np.flatnonzero(inside(first, window, len(h)))
     at, rank = home[suffix], None
     done = 0
-    for k in range(len(levels) - 1, -1, -1):
-        if window & (1 << k):
-            part = levels[k][at + done]
-            rank = part if rank is None else np.unique((rank.astype(np.int64) << 32) | part, return_inverse=True)[1]
-            done += 1 << k
+    for span in sorted(needed, reverse=True):
+        part = needed[span][at + done]
+        rank = part if rank is None else np.unique((rank.astype(np.int64) << 32) | part, return_inverse=True)[1]
+        done += span
     order = np.argsort(rank, kind="stable")
     ranked = rank[order]
     leaf = np.zeros(len(order), bool)
@@ -202,14 +214,12 @@ def repeats(docs: DataFrame, survey: DataFrame, window: int = WINDOW, id_col: st
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in sorted_groups(batches, 1, size="bytes", max_size=1 << 21):
             table = table.combine_chunks()
-            for c in chunks(table.column("text").chunk(0), 1 << 62):
-                w = words(c)
-                suffix, _ = depth_nodes(w.hashes(), w.first, window)
-                row = w.row[suffix]
-                row, begin, end = spans_of(suffix, row, window)
-                shift = table.column("start").to_numpy()[row] - w.first[row]
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").take(pa.array(row)).combine_chunks(), pa.array(begin + shift), pa.array(end + shift)],
-                                                 names=["doc_id", "begin", "end"])
+            h, first = hashed(table.column("text").chunk(0))
+            suffix, _ = depth_nodes(h, first, window)
+            row, begin, end = spans_of(suffix, np.searchsorted(first, suffix, side="right") - 1, window)
+            shift = table.column("start").to_numpy()[row] - first[row]
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").take(pa.array(row)).combine_chunks(), pa.array(begin + shift), pa.array(end + shift)],
+                                             names=["doc_id", "begin", "end"])
     small = parts.where("blocks = 1").select("key", "doc_id", "start", "text", F.length("text").cast("long").alias("bytes"))
     grouped = small.repartition("key").sortWithinPartitions("key").mapInArrow(subtree, f"doc_id {kind}, begin bigint, end bigint")
 
@@ -218,26 +228,23 @@ def repeats(docs: DataFrame, survey: DataFrame, window: int = WINDOW, id_col: st
         for table, _ in sorted_groups(batches, 2, size="bytes", max_size=1 << 21):
             table = table.combine_chunks()
             ids, start = table.column("doc_id").chunk(0), table.column("start").to_numpy()
-            for c in chunks(table.column("text").chunk(0), 1 << 62):
-                w = words(c)
-                h = w.hashes()
-                suffix, _ = depth_nodes(h, w.first, window)
-                row, begin, end = spans_of(suffix, w.row[suffix], window)
-                none = pa.array(np.zeros(len(row), np.int64))
-                yield pa.RecordBatch.from_arrays([none, none, none, ids.take(pa.array(row)), pa.array(begin + start[row] - w.first[row]),
-                                                  pa.array(end + start[row] - w.first[row])], names=names)
-                g, other = grams(h, window), grams(mix(h ^ U64(0x5851F42D4C957F2D)), window)
-                at = np.flatnonzero(inside(w.first, window, len(g)))
-                at = at[np.lexsort((other[at], g[at]))]
-                new = np.ones(len(at), bool)
-                new[1:] = (g[at[1:]] != g[at[:-1]]) | (other[at[1:]] != other[at[:-1]])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at)))
-                at = at[first]
-                row, several = w.row[at], n > 1
-                place = at + start[row] - w.first[row]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(n), ids.take(pa.array(row, mask=several)),
-                                                  pa.array(place, mask=several), pa.array(place + window, mask=several)], names=names)
+            h, first = hashed(table.column("text").chunk(0))
+            suffix, _ = depth_nodes(h, first, window)
+            row, begin, end = spans_of(suffix, np.searchsorted(first, suffix, side="right") - 1, window)
+            none, shift = pa.array(np.zeros(len(row), np.int64)), start[row] - first[row]
+            yield pa.RecordBatch.from_arrays([none, none, none, ids.take(pa.array(row)), pa.array(begin + shift), pa.array(end + shift)], names=names)
+            g, other = grams(h, window), grams(mix(h ^ U64(0x5851F42D4C957F2D)), window)
+            at = np.flatnonzero(inside(first, window, len(g)))
+            at = at[np.lexsort((other[at], g[at]))]
+            new = np.ones(len(at), bool)
+            new[1:] = (g[at[1:]] != g[at[:-1]]) | (other[at[1:]] != other[at[:-1]])
+            head = np.flatnonzero(new)
+            n = np.diff(np.append(head, len(at)))
+            at = at[head]
+            row, several = np.searchsorted(first, at, side="right") - 1, n > 1
+            place = at + start[row] - first[row]
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(n), ids.take(pa.array(row, mask=several)),
+                                              pa.array(place, mask=several), pa.array(place + window, mask=several)], names=names)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")
     large = (parts.where("blocks > 1").select("key", block, "doc_id", "start", "text", F.length("text").cast("long").alias("bytes"))
              .repartition("key", "block").sortWithinPartitions("key", "block")
