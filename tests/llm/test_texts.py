@@ -209,3 +209,28 @@ def test_licences_own_inherited_and_none(spark):
                    (4, "GPL-3.0", "own", None), (5, "GPL-3.0", "inherited", "top/sub/deep"), (6, None, "none", None), (7, None, "none", None),
                    (8, "Apache-2.0", "inherited", "top"), (9, None, "none", None), (10, "CC-BY-NC-4.0", "own", None)]
     assert license_scan.scan(frame(spark, []), path).collect() == []
+
+
+def licence_rows():
+    wrapped = license_scan.licence_texts()
+    mit = wrapped["MIT"].replace("<year> <copyright holders>", "2024 Ada Byron and others")
+    bsd = wrapped["BSD-3-Clause"].replace("The Regents of the University of California", "Some Company of Somewhere")
+    prose = " ".join(f"word{k}" for k in range(300))
+    return [(1, mit, None, "m"), (2, prose, None, "m/sub"), (3, bsd, None, "b"), (4, "plain", None, "b"), (5, " ".join(wrapped["GPL-3.0"].split()), None, "g"), (6, "plain", None, "g"),
+            (7, prose + " Released under the MIT License. " + prose, None, "x"), (8, "plain", None, "x"), (9, prose + "\n" + mit + "\n" + prose, None, "y"), (10, "plain", None, "y"),
+            (11, prose + " see the license of the driver " + prose, None, "z")]
+
+
+def test_whole_licence_texts_and_notices_inside_long_lines(spark):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    got = sorted((r["doc_id"], r["license"], r["origin"], r["license_dir"]) for r in license_scan.scan(frame(spark, licence_rows()), path).collect())
+    assert got == [(1, "MIT", "own", None), (2, "MIT", "inherited", "m"), (3, "BSD-3-Clause", "own", None), (4, "BSD-3-Clause", "inherited", "b"),
+                   (5, "GPL-3.0", "own", None), (6, "GPL-3.0", "inherited", "g"), (7, "MIT", "own", None), (8, None, "none", None),
+                   (9, "MIT", "own", None), (10, None, "none", None), (11, None, "none", None)]
+
+
+def test_every_licence_text_is_told_from_its_kin(spark):
+    texts = list(license_scan.licence_texts().items())
+    rows = [(k, "Copyright 2020 Jane Doe\n" + text, None, name) for k, (name, text) in enumerate(texts)]
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    assert {r["doc_id"]: r["license"] for r in license_scan.scan(frame(spark, rows), path).collect()} == {k: name for k, (name, _) in enumerate(texts)}
