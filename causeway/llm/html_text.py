@@ -10,7 +10,7 @@ stays with the source.
 The whole page is read. Character references are decoded, white space inside a block becomes one
 space, content blocks are joined in page order by one line feed. A null or empty page, and one
 without content, gives an empty text. Broken markup never fails: unclosed elements end with their
-parent, stray end tags are skipped. Repeated rows give equal rows; an empty table gives an empty
+parent, an open head at the first content, stray end tags are skipped. Repeated rows give equal rows; an empty table gives an empty
 result; other columns are left out.
 """
 
@@ -44,8 +44,12 @@ BOILER_WORDS = frozenset(
     "promotion recommended related reply replies respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe "
     "tags teaser toolbar topbar warning widget alert contentinfo complementary".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
+#: Attributes up to a slash that ends the tag; a slash at the end of a bare value belongs to the value.
+SELF_CLOSED = r"(?>\"[^\"]*\"|'[^']*'|=\s*+[^\s\"'>]++|=|[^\"'>/=]|/(?!>))*+/>"
+#: What may stand in a head; any other element ends one that was left open.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){SELF_CLOSED}|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>",
     re.S | re.I)
 ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
@@ -105,6 +109,8 @@ def blocks(page: str) -> list[Block]:
 
     def text(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not skip:
             parts.append(raw)
             if any(e[3] for e in stack[1:]):
@@ -115,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m[0][1:2].isalpha():  # a self-closed svg or math parts words too
                 parts.append(" ")
             continue
         block_level = tag not in INLINE and tag != "br"
@@ -132,6 +138,12 @@ def blocks(page: str) -> list[Block]:
                 if not block_level and stack[depth][0] not in INLINE:
                     break
             continue
+        if tag not in HEAD:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == "head":
+                    flush()
+                    close(depth)
+                    break
         if block_level:
             # an open paragraph, or item of the same list, ends here; inline elements left open end with it
             for depth in range(len(stack) - 1, 0, -1):

@@ -40,6 +40,16 @@ def test_broken_and_empty_pages():
     assert main_text("<article><p>" + "word " * 200_000 + "</article>").count("word") == 200_000
 
 
+def test_custom_elements_self_closed_drawings_and_open_heads_drop_nothing():
+    one, two = "A first paragraph that says a good deal of things.", "A second paragraph that says a good deal of things."
+    for between in ("<svg-icon name='x'></svg-icon>", "<video-js></video-js>", "<select-box>", "<title-bar></title-bar>", "<svg/>", '<svg viewBox="0 0 1 1"/>', "<math />",
+                    "<svg width=16/><text>drawn</text></svg>", "<svg><path d='M0'/><text>drawn</text></svg>", "<script src='a/b'/>no()</script>"):
+        assert main_text(f"<article><p>{one}</p>{between}<p>{two}</p></article>") == f"{one}\n{two}", between
+    for head in ("<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>", "<head><style>p{}</style></head>", "<HEAD><link rel=x>\n<BODY class='a'>"):
+        assert main_text(f"<html>{head}<article><p>{one}</p><p>{two}</p></article></html>") == f"{one}\n{two}", head
+    assert [b.text for b in blocks(f"<head><title>T</title>\n{one}<p>{two}")] == [one, two]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-6, 6), min_size=1, max_size=7), st.data())
 def test_minimum_cut_is_minimal(gain, data):
