@@ -17,8 +17,9 @@ at 0.9 with 2e-10. No bucket, group or candidate list is capped. The pairs of bl
 grow with the square of its *different* texts; equal texts cost nothing.
 
 Null, empty and blank texts have an empty set: a component of their own. Repeated rows of a
-document id count as one document each and are linked through equal sets; an empty table gives an
-empty result; other columns are left out.
+document id count as one document each and are linked through equal sets, and so do different
+texts of one id; a group's id is the least that is not null. Rows without an id are kept where no document
+with an id stands for them. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.graph import components
-from causeway.llm.shuffle import packed, sorted_groups, unpack
+from causeway.llm.shuffle import keyed, packed, sorted_groups, unpack
 from causeway.llm.tokens import U64, Chunk, chunks, grams, inside, join, mix, words
 from causeway.session import write_layer
 
@@ -105,11 +106,11 @@ def superminhash(row: np.ndarray, element: np.ndarray, rows: int, slots: int, pa
     return best.reshape(rows, slots)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): the set's size and 128-bit digest, and one key for each band."""
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(row, doc_id, n_shingles, set_a, set_b, bands): the set's size and 128-bit digest, and one key for each band. ``docs``: (row, doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b.column(1)):
+            for c in chunks(b.column(2)):
                 n = c.hi - c.lo
                 row, value = shingles(c)
                 size = np.bincount(row, minlength=n)
@@ -125,11 +126,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 flat = pa.array(key.view(np.int64).reshape(-1))
                 bounds = pa.array((np.arange(n + 1) * bands).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.lo, n), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), pa.ListArray.from_arrays(bounds, flat)],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+                    [b.column(0).slice(c.lo, n), b.column(1).slice(c.lo, n), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), pa.ListArray.from_arrays(bounds, flat)],
+                    names=["row", "doc_id", "n_shingles", "set_a", "set_b", "bands"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(
+        run, f"row binary, doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def ties(classes: DataFrame) -> DataFrame:
@@ -214,16 +215,20 @@ def verified(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept). Links: 100 * intersection >= percent * union."""
-    signed = write_layer(signatures(docs, id_col, text_col, bands, rows), "near-signatures")
+    docs = keyed(docs, id_col, text_col)
+    signed = write_layer(signatures(docs, bands, rows), "near-signatures")
     filled = signed.where("n_shingles > 0")
-    classes = write_layer(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
-                          .select("set_a", "set_b", "n_shingles", "x.doc_id", "x.bands"), "near-classes")
+    # classes are named by one of their rows, which is never null; the least id passes over nulls
+    classes = write_layer(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("row", "bands")).alias("x"), F.min("doc_id").alias("least"))
+                          .select("set_a", "set_b", "n_shingles", "least", F.col("x.row").alias("doc_id"), "x.bands"), "near-classes")
     groups = components(ties(classes), "near-ties").select(F.col("node").alias("doc_id"), "component")
     groups = write_layer(groups.join(classes.select("doc_id", "n_shingles"), "doc_id"), "near-groups")
-    links = components(verified(docs, groups, percent, id_col, text_col), "near-links")
-    label = (classes.select("set_a", "set_b", "doc_id").join(links, F.col("doc_id") == F.col("node"), "left")
-             .select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id")))
+    links = components(verified(docs, groups, percent, "row", "text"), "near-links")
+    smallest = (links.join(classes.select("doc_id", "least"), F.col("node") == F.col("doc_id")).groupBy("component").agg(F.min("least").alias("smallest")))
+    links = links.join(smallest, "component").select("node", "smallest")
+    label = (classes.select("set_a", "set_b", "doc_id", "least").join(links, F.col("doc_id") == F.col("node"), "left")
+             .select("set_a", "set_b", F.coalesce("smallest", "least").alias("component_id")))
     # one row for each set on the right: a set that many documents share is split by the adaptive skew join
     known = filled.join(label, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -31,6 +31,14 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text): ``row`` is a digest of id and text, never null, so rows without an id and texts that share one stay apart."""
+    name, text = F.col(id_col).cast("string"), F.col(text_col)
+    named = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return docs.select(F.unhex(F.md5(F.concat(named, F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))))).alias("row"),
+                       F.col(id_col).alias("doc_id"), text.alias("text"))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 0, size: str | None = None,
                   max_size: int = 1 << 22) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of a partition sorted by its first ``keys`` columns, several groups at a time.

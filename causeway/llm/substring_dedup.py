@@ -21,7 +21,7 @@ Texts with the same words stand for one class; if it has two members or more, al
 repeat and only its first member takes part in the search for the others.
 
 Null and blank texts have no words; texts of fewer words than the window lose nothing. Repeated
-rows repeat each other's windows. An empty table gives an empty result.
+rows repeat each other's windows; rows without an id, and different texts of one id, are documents of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.shuffle import packed, sorted_groups, unpack
+from causeway.llm.shuffle import keyed, packed, sorted_groups, unpack
 from causeway.llm.tokens import U64, Chunk, Words, chunks, grams, inside, mix, words
 from causeway.session import write_layer
 
@@ -74,21 +74,21 @@ def plain(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def surveyed(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_words, digest, keys): whole-text digest of the words, and the anchors in text order."""
+def surveyed(docs: DataFrame, window: int) -> DataFrame:
+    """(row, doc_id, n_words, digest, keys): whole-text digest of the words, and the anchors in text order. ``docs``: (row, doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b.column(1)):
+            for c in chunks(b.column(2)):
                 w = words(c)
                 row, key, _, _ = anchors(w, w.hashes(), window)
                 bounds = np.searchsorted(row, np.arange(c.hi - c.lo + 1)).astype(np.int32)
                 digest = [hashlib.sha256(plain(c.data[x:y].tobytes())).digest() for x, y in zip(c.offsets[:-1], c.offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.lo, c.hi - c.lo), pa.array(np.diff(w.first)), pa.array(digest, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64)))], names=["doc_id", "n_words", "digest", "keys"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, digest binary, keys array<bigint>")
+                    [b.column(0).slice(c.lo, c.hi - c.lo), b.column(1).slice(c.lo, c.hi - c.lo), pa.array(np.diff(w.first)), pa.array(digest, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64)))], names=["row", "doc_id", "n_words", "digest", "keys"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(
+        run, f"row binary, doc_id {kind}, n_words bigint, digest binary, keys array<bigint>")
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[Chunk, Words, np.ndarray]]:
@@ -278,13 +278,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
     The text of a document that loses nothing stays as it is; else the kept words keep their white space.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    survey = write_layer(surveyed(docs, window, id_col, text_col), "substring-survey")
-    classes = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"))
+    docs = keyed(docs, id_col, text_col)
+    survey = write_layer(surveyed(docs, window), "substring-survey")
+    classes = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("row").alias("doc_id"), F.count(F.lit(1)).alias("members"))
     classes = write_layer(classes, "substring-classes")
-    apart = survey.select("doc_id", "keys").join(classes.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    # from here on rows go by their own key, and meet their ids again in the result
+    apart = survey.select(F.col("row").alias("doc_id"), "keys").join(classes.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     alone = classes.where("members = 1").select("doc_id")
-    spans = (repeats(docs, apart, window, id_col, text_col, group_pieces).join(alone, "doc_id", "left_semi")
+    spans = (repeats(docs, apart, window, "row", "text", group_pieces).join(alone, "doc_id", "left_semi")
              .groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
     spans = write_layer(spans, "substring-spans")
 
@@ -298,12 +299,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                 gone.append(n)
                 digest.append(hashlib.sha256(plain(text)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())],
-                                             names=["doc_id", "removed", "sha", "kept_text"])
-    changed = packed(docs, id_col, text_col).join(spans, "doc_id").mapInArrow(run, f"doc_id {kind}, removed bigint, sha string, kept_text string")
+                                             names=["row", "removed", "sha", "kept_text"])
+    changed = packed(docs, "row", "text").join(spans, "doc_id").mapInArrow(run, "row binary, removed bigint, sha string, kept_text string")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     # one row for each digest on the right: a text that many documents share is split by the adaptive skew join
     copies = classes.where("members > 1").select("digest", F.lit(True).alias("copied"))
-    out = (survey.select("doc_id", "n_words", "digest").join(copies, "digest", "left").join(changed.dropDuplicates(["doc_id"]), "doc_id", "left"))
+    out = (survey.select("row", "doc_id", "n_words", "digest").join(copies, "digest", "left").join(changed.dropDuplicates(["row"]), "row", "left"))
     copied = F.col("copied").isNotNull()
     out = out.select("doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
                      F.when(copied, empty).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),

@@ -128,3 +128,37 @@ def test_substrings_repeated_rows_and_empty_table(spark):
 
 def test_cut_keeps_white_space_of_what_stays():
     assert substring_dedup.cut(b" a  b\nc d\n", [(1, 2)]) == (b" a  c d\n", 1)
+
+
+def unnamed_rows():
+    """Rows without an id, and an id with two texts."""
+    def text(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+    copied, shared = text("c", 50), text("s", 40)
+    return [(None, copied, "en", "a"), (5, copied, "en", "a"), (6, copied + " z", "en", "a"), (7, copied, "en", "a"),
+            (None, text("n", 20) + " " + shared, "en", "a"), (8, text("m", 20) + " " + shared, "en", "a"),
+            (9, text("p", 60), "en", "a"), (9, text("q", 20) + " " + text("r", 60), "en", "a"), (10, text("t", 9) + " " + text("r", 60), "en", "a"),
+            (None, "", "en", "a"), (None, text("u", 30), "en", "a")]
+
+
+def named(rows):
+    return [(k, *r[1:]) for k, r in enumerate(rows)]
+
+
+def test_near_duplicates_of_rows_without_an_id_and_of_an_id_with_two_texts(spark):
+    rows = unnamed_rows()
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    of = expected_components(named(rows))
+    want = Counter()
+    for k, (n, c) in of.items():
+        ids = [rows[j][0] for j in of if of[j][1] == c and rows[j][0] is not None]
+        least = min(ids, default=None)
+        want[(rows[k][0], n, least, rows[k][0] == least)] += 1
+    assert got == want and (6, 47, 5, False) in got and (None, 46, 5, False) in got
+
+
+def test_substrings_of_rows_without_an_id_and_of_an_id_with_two_texts(spark):
+    rows = unnamed_rows()
+    got = Counter(tuple(r) for r in substring_dedup.dedup(frame(spark, rows)).collect())
+    assert got == Counter((rows[k][0], *x) for k, *x in expected_cut(named(rows), 35))
+    assert sum(n > 0 for _, _, n, _ in got.elements()) == 8
