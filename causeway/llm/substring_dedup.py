@@ -1,4 +1,4 @@
-"""Substring deduplication with prefix-partitioned suffix trees over words.
+"""Substring deduplication by minimiser groups of suffixes over words, in place of prefix-partitioned suffix trees.
 
 A suffix begins at every word that has ``window`` words of its document from there on, and is read
 ``window`` words deep: two suffixes that agree so far meet in an internal node of that depth, and
@@ -7,10 +7,10 @@ everything such a node covers is a repeat. The suffixes are split into groups th
 1. Each suffix carries the first least of the hashed 8-word sequences in its window (its anchor).
    Equal windows have equal anchors, so a suffix whose anchor occurs once in the corpus cannot
    repeat and goes no further. Consecutive suffixes with one anchor travel as one piece of text.
-2. Pieces are grouped by the anchor's 8 words. A group of at most ``group_pieces`` pieces gives one
+2. Pieces are grouped by the anchor's 8 words, which stand anywhere in the window (a minimiser, not a prefix). A group of at most ``group_pieces`` pieces gives one
    subtree: its suffixes are sorted by prefix doubling, and equal neighbours at full depth are the
    leaves of a deep internal node.
-3. A larger group is split by longer prefixes. As every leaf pair in question agrees on all of its
+3. A larger group is split by whole prefixes. As every leaf pair in question agrees on all of its
    ``window`` words, the prefix is extended to just that length (128-bit digests): each group is
    then a single node, and counting its leaves replaces the subtree. The group's pieces are dealt
    out in blocks first: what repeats inside a block is found by the block's own subtree, and a block
