@@ -100,3 +100,24 @@ SELECT doc_id, coalesce(license, dir_license) AS license, CASE WHEN license IS N
   cosine, CASE WHEN license IS NULL THEN dir END AS license_dir
 FROM p LEFT JOIN b USING (doc_id)
 """
+
+ORACLES["op13_phrases"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, count(*) AS f
+      FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM g WHERE k > 1),
+x AS (SELECT lang, g, f AS a, array_to_string(list_slice(w, 1, j), ' ') AS first, array_to_string(list_slice(w, j + 1, k), ' ') AS rest, j
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+y AS (SELECT x.lang, x.g, x.a, l.f AS l, r.f AS r, ((2000000::HUGEINT * x.a) // (l.f::HUGEINT + r.f))::BIGINT AS score, j
+      FROM x JOIN g l ON l.lang = x.lang AND l.g = x.first JOIN g r ON r.lang = x.lang AND r.g = x.rest),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, f, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+dropped AS (SELECT DISTINCT z.lang, z.g FROM z JOIN inner_ USING (lang, g) WHERE 100::HUGEINT * inner_.f >= 80::HUGEINT * z.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM z ANTI JOIN dropped USING (lang, g) JOIN total USING (lang)
+QUALIFY rank <= 2000
+"""
