@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontamination, html_text, language_id, language_model, license_scan, mixing, near_dedup, phrases, quality_rules, simhash, substring_dedup, toxicity
+from causeway.llm import decontamination, html_text, language_id, language_model, license_scan, mixing, near_dedup, phrases, quality_rules, simhash, substring_dedup, token_alignment, toxicity
 from causeway.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.correspondences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
