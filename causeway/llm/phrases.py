@@ -40,7 +40,7 @@ MIN_COUNT = 30
 TOP = 2000
 SUBSUMED_PERCENT = 80
 SCALE = 2_000_000
-COUNT_BYTES = 1 << 23
+COUNT_BYTES = 1 << 21
 #: The bitmap has 64 bits for each frequent gram and at most so many in all (32 MB).
 MAX_BITS = 28
 #: Ends of pieces: sentence marks and line ends.
