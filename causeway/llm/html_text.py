@@ -52,6 +52,12 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){SELF_CLOSED}|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>",
     re.S | re.I)
 ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Words that make a name speak of the page's layout or state, at its start and at its end, and words that add nothing to the word before.
+STATE_FIRST = frozenset("has with no not without is are can hide hidden show shown enable enabled disable disabled".split())
+STATE_LAST = frozenset("fixed sticky static enabled disabled active inactive open opened closed visible hidden on off true false yes no results result group "
+                       "layout page theme template ready loaded supported".split())
+FILLER = frozenset("area bar block box btn button buttons card col column container count div icon icons inner item items left link links list "
+                   "outer panel posts right row section slot top bottom unit widgets wrap wrapper".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -67,6 +73,24 @@ class Block:
     heading: bool
 
 
+def named(name: str) -> str:
+    """What one class, id or role says: "boiler", "content" or "".
+
+    The last word that is no filler decides (``site-footer``); a content word that a boilerplate word qualifies
+    is boilerplate (``comment-body``). Names of a state or layout (``has-sidebar``, ``header-fixed``) say nothing.
+    """
+    w = [x for x in SPLIT.split(CAMEL.sub("-", name).lower()) if x]
+    if len(w) > 1 and (w[0] in STATE_FIRST or w[-1] in STATE_LAST):
+        return ""
+    while len(w) > 1 and w[-1] in FILLER:
+        w.pop()
+    if not w:
+        return ""
+    if w[-1] in BOILER_WORDS or w[-1] in CONTENT_WORDS and BOILER_WORDS.intersection(w):
+        return "boiler"
+    return "content" if w[-1] in CONTENT_WORDS else ""
+
+
 def marks(tag: str, attrs: str, inside_article: bool) -> float:
     """Evidence of one element for content (positive) or against it."""
     score = -BOILER_TAGS.get(tag, 0.0)
@@ -75,12 +99,10 @@ def marks(tag: str, attrs: str, inside_article: bool) -> float:
     if tag in ("article", "main"):
         score += 2.5
     if attrs and tag not in ("html", "body"):  # their classes speak of the page's layout
-        names: set[str] = set()
-        for m in ATTR.finditer(attrs):
-            names.update(SPLIT.split(CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower()))
-        if names & BOILER_WORDS:
+        said = {named(x) for m in ATTR.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()}
+        if "boiler" in said and tag not in ("article", "main"):
             score -= 5.0
-        elif names & CONTENT_WORDS:
+        elif "content" in said:
             score += 2.0
     return score
 
@@ -116,7 +138,8 @@ def blocks(page: str) -> list[Block]:
             if any(e[3] for e in stack[1:]):
                 linked += len(raw.strip())
     at = 0
-    for m in TOKEN.finditer(page):
+    # no tag ends behind the last mark that could end it
+    for m in TOKEN.finditer(page) if page.rfind(">") > page.find("<") >= 0 else ():
         text(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
