@@ -180,14 +180,16 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     ``origin``: own, inherited or none; ``cosine``: that of the own licence; ``license_dir``: the
     directory that gave an inherited one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    # rows go by id and a digest of the text: rows without an id and texts that share one stay apart
+    name = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    rows = docs.select(name.alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text"))
     found = write_layer(headers(rows), "license-headers")
     notices = templates or TEMPLATES
     lengths = sorted({len(re.findall(TERM, line.lower())) for lines in notices.values() for line in lines})
     known = write_layer(classified(found, template_lines(docs.sparkSession, notices), lengths, min_cosine, min_window), "license-classes")
     # a notice may stand in a third of all documents: the few distinct headers are repeated over salts
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["header", "salt"])
+    hits = found.dropDuplicates(["doc_id", "header"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["header", "salt"])
     own = (hits.groupBy("doc_id").agg(F.max(F.struct("cosine", (-F.col("rank")).alias("order"), "license")).alias("b"),
                                       (F.sum("n_header") >= file_share * F.max("n_words")).alias("file"))
            .select("doc_id", "b.license", "b.cosine", "file"))
@@ -206,6 +208,6 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                .select("path", F.col("n.dir").alias("license_dir"), F.col("n.dir_license").alias("dir_license")))
     inherited = F.col("license").isNull() & F.col("dir_license").isNotNull()
     return (placed.join(nearest, "path", "left")
-            .select("doc_id", F.coalesce("license", "dir_license").alias("license"),
+            .select(F.col("doc_id.id").alias("doc_id"), F.coalesce("license", "dir_license").alias("license"),
                     F.when(F.col("license").isNotNull(), "own").when(inherited, "inherited").otherwise("none").alias("origin"),
                     "cosine", F.when(inherited, F.col("license_dir")).alias("license_dir")))
