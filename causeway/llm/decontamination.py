@@ -1,18 +1,20 @@
-"""Benchmark decontamination with suffix arrays over shards of the training texts.
+"""Benchmark decontamination by joint ranks of benchmark and training suffixes.
 
 A shard is a few megabytes of whole texts. Its words (ASCII letters and digits, and everything
 beyond ASCII; A-Z lowered) become one sequence with a separator after each text, the benchmark's
-words are appended, and the suffixes of both are ranked together by prefix doubling. Sorted by
-rank, the training suffixes are the shard's suffix array, cut at 16 words; every test suffix is
-binary-searched in it. Equal ranks of the searched length give the verbatim matches and their
-places; matches are followed word by word to their full length.
+words are appended, and the prefixes of both sides' suffixes are ranked together by prefix doubling.
+Training suffixes of a rank that some test suffix has are sorted, and every test suffix is
+binary-searched among them. Equal ranks of the searched length give the verbatim matches and their
+places; matches are followed word by word to their full length. (This is not a suffix array of the
+whole shard.)
 
 The benchmark is read in blocks of at most ``block_words`` words; one block is broadcast at a time,
 so memory does not grow with the benchmark. Shards do not interact: nothing is shuffled unless
 there is more than one block.
 
 A null text has no words. An item without words matches nothing; an item shorter than the window is
-matched whole. Repeated documents each get their row and repeated items count each by its id. Empty
+matched whole. Repeated documents each get their row and repeated items count each by its id. Rows go by
+a digest of id and text, so rows without an id and different texts of one id stay apart. Empty
 tables give an empty result, or documents without hits. Other columns are left out.
 """
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.shuffle import keyed
 from causeway.llm.tokens import ALNUM, chunks, words
 from causeway.session import write_layer
 
@@ -147,13 +150,13 @@ def longest(m: Matches, word: np.ndarray, block: Block) -> np.ndarray:
 
 
 def scan(docs: DataFrame, block: Block, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_words, spans, items, places, longest): every document, with the matches of one block."""
+    """(row, doc_id, n_words, start, length, place, longest, item): every document, with the matches of one block."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for b in batches:
-            for c in chunks(b.column(1), SHARD_BYTES):
+            for c in chunks(b.column(2), SHARD_BYTES):
                 w = words(c, ALNUM, lower=True)
                 h, rows = w.hashes(), c.hi - c.lo
                 h[h == 0] = 1
@@ -173,13 +176,13 @@ def scan(docs: DataFrame, block: Block, window: int, id_col: str, text_col: str)
                     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(v[order], kind))
                 names = np.array(block.ids, object)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(c.lo, rows), pa.array(np.diff(w.first), pa.int64()),
+                    b.column(0).slice(c.lo, rows), b.column(1).slice(c.lo, rows), pa.array(np.diff(w.first), pa.int64()),
                     per_row(offset, pa.int32()), per_row(m.length, pa.int32()), per_row(m.place, pa.int32()), per_row(full, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(names[m.item[order]], pa.string()))],
-                    names=["doc_id", "n_words", "start", "length", "place", "longest", "item"])
+                    names=["row", "doc_id", "n_words", "start", "length", "place", "longest", "item"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, start array<int>, length array<int>, place array<int>, longest array<int>, item array<string>")
+    return keyed(docs, id_col, text_col).mapInArrow(
+        run, f"row binary, doc_id {kind}, n_words bigint, start array<int>, length array<int>, place array<int>, longest array<int>, item array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -187,20 +190,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     """One row per document with its verbatim matches, as arrays: ``start`` (word), ``length`` (window),
     ``place`` (word in the item), ``longest`` (full length of the match) and ``item``.
 
-    With more than one block the blocks' rows are merged by document id and text order.
+    ``row`` is a digest of id and text; with more than one block, the blocks' rows are merged by it.
     """
     parts = [scan(docs, block, window, id_col, text_col) for block in blocks(benchmark, item_col, item_text_col, block_words)]
     if not parts:
         parts = [scan(docs, Block([], np.zeros(0, np.uint64), np.zeros(1, np.int64)), window, id_col, text_col)]
     if len(parts) == 1:
         return parts[0]
-    rows = write_layer(parts[0], "matches-0")
+    rows = write_layer(parts[0], "matches-0").withColumn("block", F.lit(0))
     for k, part in enumerate(parts[1:], 1):
-        rows = rows.unionByName(write_layer(part, f"matches-{k}"))
+        rows = rows.unionByName(write_layer(part, f"matches-{k}").withColumn("block", F.lit(k)))
     lists = ["start", "length", "place", "longest", "item"]
-    # repeated rows of an id have the same matches in each block or differ in their number of words
-    per = rows.groupBy("doc_id", "n_words").agg(F.count(F.lit(1)).alias("_n"), *[F.flatten(F.collect_list(c)).alias(c) for c in lists])
-    return (per.withColumn("_n", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(parts)).cast("int")))).drop("_n"))
+    # rows that repeat id and text have equal matches: those of one row of each block, as often as the row occurs
+    per = (rows.groupBy("row", "block").agg(F.count(F.lit(1)).alias("_n"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first(F.struct(*lists)).alias("m"))
+           .groupBy("row").agg(F.max("_n").alias("_n"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+                               *[F.flatten(F.collect_list(F.col(f"m.{c}"))).alias(c) for c in lists]))
+    return per.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("row", "doc_id", "n_words", *lists)
 
 
 def summary(found: DataFrame) -> DataFrame:
