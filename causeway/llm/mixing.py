@@ -3,7 +3,9 @@
 A source's weight is its token share raised to an exponent and normalised. The exponent is found by
 section search (bisection with many points at once, each round one small aggregation): the smallest
 one in [0, 1] at which no source is read more than ``max_epochs`` times and the weights' entropy is
-no more than ``evenness`` of the greatest possible. The token budget is such that the source with
+no more than ``evenness`` of the greatest possible. Where none is, as the shares are too even already, the
+exponent is 1 (the shares as they are: a larger one would leave documents out), and ``mix`` warns, or raises
+with ``unmet="error"``. The token budget is such that the source with
 the least repetition is read exactly once, so no document is lost; the others are repeated.
 
 A source is cut into blocks by a hash of the document id. Each epoch reads the blocks in a new
@@ -18,6 +20,7 @@ table gives an empty mixture; other columns of the input are left out.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +60,17 @@ def solve_exponent(totals: DataFrame, evenness: float, max_epochs: float) -> flo
     return round(high, 6)
 
 
+def target_met(totals: DataFrame, exponent: float, evenness: float, max_epochs: float) -> bool:
+    """Whether both limits hold at an exponent (to rounding); with fewer than two sources that have tokens they do."""
+    positive = totals.where(F.col("tokens") > 0).select(F.pow(F.col("tokens").cast("double"), F.lit(exponent)).alias("w"), F.col("tokens").cast("double").alias("n"))
+    seen = positive.agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("s"), F.max("n").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("sources")).first()
+    if seen["sources"] < 2:
+        return True
+    entropy = math.log(seen["z"]) - seen["s"] / seen["z"]
+    repeated = (seen["least"] / seen["most"]) ** (exponent - 1)
+    return entropy <= evenness * math.log(seen["sources"]) + 1e-5 and repeated <= max_epochs + 1e-4
+
+
 def plan_weights(totals: DataFrame, exponent: float) -> DataFrame:
     """Adds weight, budget, whole epochs and the tokens left for the last, partial one."""
     n = F.col("tokens").cast("double")
@@ -69,7 +83,7 @@ def plan_weights(totals: DataFrame, exponent: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
-        evenness: float = 0.98, max_epochs: float = 4.0, block_docs: int = 1000, seed: int = 17) -> DataFrame:
+        evenness: float = 0.98, max_epochs: float = 4.0, block_docs: int = 1000, seed: int = 17, unmet: str = "warn") -> DataFrame:
     """The training order: (doc_id, source, epoch, block_rank, doc_rank, n_tokens).
 
     ``epoch``, ``block_rank`` and ``doc_rank`` order the rows of a source. A block holds about
@@ -80,7 +94,13 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     rows = write_layer(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_tokens.alias("n_tokens")),
                        "mix-tokens")
     totals = write_layer(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
-    plan = plan_weights(totals, solve_exponent(totals, evenness, max_epochs))
+    exponent = solve_exponent(totals, evenness, max_epochs)
+    if not target_met(totals, exponent, evenness, max_epochs):
+        problem = f"no exponent up to 1 reaches an evenness of {evenness} with at most {max_epochs} epochs; sources keep the weights of exponent {exponent}"
+        if unmet == "error":
+            raise ValueError(problem)
+        warnings.warn(problem, stacklevel=2)
+    plan = plan_weights(totals, exponent)
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / F.greatest(F.lit(float(block_docs)), F.sqrt("docs")))).cast("long"))
 
     # how many blocks a source has must be known where its documents are: salted, as a source may be a third of all rows
