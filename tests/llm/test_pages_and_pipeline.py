@@ -2,6 +2,7 @@ import hashlib
 import random
 from itertools import product
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -127,3 +128,33 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", "has-sidebar with-sidebar no-comments search-results form-group header-fixed share-enabled hasSidebar page-wrapper".split())
+def test_names_of_layout_and_state_say_nothing(name):
+    body = "<p>The article has a first long paragraph, with several words.</p><p>It has a second long paragraph, with some more words.</p>"
+    want = "The article has a first long paragraph, with several words.\nIt has a second long paragraph, with some more words."
+    rest = "<nav><a href=a>Home</a></nav><div class='site-footer'>Copyright by us, all rights reserved.</div><div class='comment-list'><p>I do not agree with this at all.</p></div>"
+    for page in (f"<body><div class='page {name}'><article>{body}</article>{rest}</div></body>", f"<body><div class='{name}'><div>{body}</div>{rest}</div></body>",
+                 f"<body><article class='{name}'>{body}</article>{rest}</body>"):
+        assert main_text(page) == want
+
+
+def test_pages_without_a_tag_end_take_linear_time():
+    assert main_text("<a " * 100_000).count("<a") == 100_000
+
+
+def test_stages_keep_texts_that_share_an_id_apart(spark, tmp_path):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(60)) for c in "uvw")
+    passage = " ".join(f"q{k}" for k in range(30))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def run(stage, rows):
+        out = dict(corpus_pipeline.STAGES)[stage](spark, frame(spark, rows), str(tmp_path))
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    good, bad = (2, one, "en", "a"), (2, "x x x", "en", "a")
+    assert run("quality rules", [good, bad, (3, two, "en", "a"), (4, three, "en", "a"), (None, two, "en", "a")]) == sorted([(2, one), (3, two), (4, three)])
+    assert run("near-duplicates", [(1, two, "en", "a"), (2, two, "en", "a"), (2, three, "en", "a"), (2, three, "fr", "b"), (5, None, None, None)]) == [(1, two), (2, three), (5, None)]
+    assert run("benchmark decontamination", [(2, one + " " + passage, "en", "a"), (2, one, "en", "a"), (None, passage, "en", "a"), (None, two, "en", "a")]) == sorted([(2, one), (None, two)], key=str)
+    assert run("substring dedup", [(2, one + " " + passage + " " + two, "en", "a"), (2, three, "en", "a"), (3, passage, "en", "a")])[0][0] == 2

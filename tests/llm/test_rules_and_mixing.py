@@ -1,6 +1,9 @@
 import math
+import warnings
 from collections import Counter, defaultdict
 
+import pytest
+
 from causeway.llm import mixing, quality_rules
 from tests.llm.rows import corpus, frame, words
 
@@ -99,3 +102,14 @@ def test_mixture_empty_and_single_source(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     assert len(mixing.mix(frame(spark, [(1, "a", "en", "s")] * 3)).collect()) == 3
     assert len(mixing.mix(frame(spark, [(1, None, "en", "s"), (2, "", "en", None)])).collect()) == 2
+
+
+def test_a_target_out_of_reach_is_said(spark):
+    even = frame(spark, [(i, "w " * (100 if i else 95), "en", str(i)) for i in range(2)])
+    with pytest.warns(UserWarning, match="evenness of 0.5"):
+        assert len(mixing.mix(even, evenness=0.5).collect()) == 2
+    with pytest.raises(ValueError):
+        mixing.mix(even, evenness=0.5, unmet="error")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.mix(frame(spark, [(i, "w " * (1 if i else 400), "en", str(i)) for i in range(2)]))

@@ -234,3 +234,22 @@ def test_every_licence_text_is_told_from_its_kin(spark):
     rows = [(k, "Copyright 2020 Jane Doe\n" + text, None, name) for k, (name, text) in enumerate(texts)]
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
     assert {r["doc_id"]: r["license"] for r in license_scan.scan(frame(spark, rows), path).collect()} == {k: name for k, (name, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 12])
+def test_rows_without_an_id_and_texts_of_one_id_stay_apart(spark, block_words):
+    items = [(1, "a b c d e f g h i j k"), (2, "one two three"), (3, "zz yy xx")]
+    rows = [(None, "pre one two three", "en", "a"), (None, "pre two one three", "en", "a"), (4, "zz yy xx qq", "en", "a"), (4, "qq xx yy zz", "en", "a"), (4, "zz yy xx qq", "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.summary(decontamination.matches(frame(spark, rows), bench, block_words=block_words))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in found.collect()), key=str)
+    assert got == sorted([(None, 4, 3, True), (None, 4, 0, False), (4, 4, 3, True), (4, 4, 0, False), (4, 4, 3, True)], key=str)
+
+
+def test_licences_of_rows_without_an_id_and_of_texts_of_one_id(spark):
+    rows = [(None, "Released under the MIT License", "en", "a"), (None, "nothing of the kind", "en", "a"), (5, "plain words only", "en", "b"),
+            (5, "Released under the MIT License\nand more words that are not a licence at all, many of them here", "en", "b"), (5, "plain words only", "en", "b")]
+    path = F.concat_ws("/", "source", F.coalesce(F.md5("text"), F.lit("x")))
+    got = sorted(((r["doc_id"], r["license"], r["origin"]) for r in license_scan.scan(frame(spark, rows), path).collect()), key=str)
+    assert [g for g in got if g[0] is None] == [(None, "MIT", "inherited"), (None, "MIT", "own")]
+    assert [g for g in got if g[0] == 5] == [(5, "MIT", "own"), (5, None, "none"), (5, None, "none")]
