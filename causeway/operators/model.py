@@ -2,54 +2,47 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import kernels as K
+from causeway.operators import resampling as D
+from causeway.operators import ridge as R
+from causeway.operators import stationarity as S
 from causeway.operators.lags import GROUP, PAIR
-
-SCHEMA = (
-    "kpi string, region string, window_start date, component string, driver string, model_status string, "
-    "historical_coefficient double, holdout_r2 double, p_value double, is_significant boolean, "
-    "coefficient_stability double, alpha double, n_observations long, validity_method string, "
-    "driver_differenced boolean, component_differenced boolean")
-
-
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ordinal")
-    lags = rows["best_lag_days"].astype(int).tolist()
-    target, target_changed = K.stationary(np.asarray(rows["ys"].iloc[0], float))
-    moved = [K.stationary(np.asarray(x, float)) for x in rows["xs"]]
-    y = target.shifted(0)
-    xs = [s.shifted(lag) for (s, _), lag in zip(moved, lags)]
-    table = np.column_stack([y, *xs])
-    table = table[np.isfinite(table).all(axis=1)]
-    fit = K.fit_component(table[:, 1:], table[:, 0]) if target.usable() else None
-    out = rows[PAIR].copy()
-    out["model_status"] = "fitted" if fit else "insufficient_history"
-    out["historical_coefficient"] = fit["coef"] if fit else 0.0
-    out["holdout_r2"] = fit["holdout_r2"] if fit else None
-    out["coefficient_stability"] = fit["stability"] if fit else 0.0
-    out["alpha"] = fit["alpha"] if fit else None
-    out["n_observations"] = fit["n"] if fit else (len(table) if target.usable() else 0)
-    checks = []
-    for x in xs:
-        both = np.isfinite(x) & np.isfinite(y)
-        checks.append(K.validity(x[both], y[both], len(xs)) if fit else (None, None, False))
-    out["validity_method"] = [m for m, _, _ in checks]
-    out["p_value"] = pd.array([p for _, p, _ in checks], dtype="Float64")
-    out["is_significant"] = [s for _, _, s in checks]
-    out["driver_differenced"] = [changed for _, changed in moved]
-    out["component_differenced"] = target_changed
-    return out[[c.strip().split(" ")[0] for c in SCHEMA.split(",")]]
-
-
-def fitted_model(signal: DataFrame) -> DataFrame:
-    """One group holds the drivers of one component, each with at most 91 history rows."""
-    return signal.select(
-        *PAIR, "ordinal", "best_lag_days",
-        F.transform("history_rows", lambda r: r["x"]).alias("xs"),
-        F.transform("history_rows", lambda r: r["y"]).alias("ys"),
-    ).groupBy(*GROUP).applyInPandas(_fit, SCHEMA)
+from causeway.session import write_layer
+
+
+@dataclass
+class Fitted:
+    """``tests``: unit-root test per series (driver '' is the component); ``fits``: one row per fitted component; ``table``: one row per driver."""
+
+    tests: DataFrame
+    fits: DataFrame
+    table: DataFrame
+
+
+def fitted_model(signal: DataFrame, drivers: int) -> Fitted:
+    """The model of every component from moments of its history rows. ``drivers``: most drivers of a component."""
+    longest = signal.select(F.max(F.size("history_rows")).alias("n")).first()["n"] or 1
+    rows = write_layer(S.history(signal), "model-history")
+    tests = write_layer(S.unit_roots(rows, S.most_lags(longest)), "model-tests")
+    moved = write_layer(S.moved(rows, tests), "model-moved")
+    varies = moved.filter("slot = 0").groupBy(*GROUP).agg(((F.count("v") >= K.ADF_MIN_ROWS) & (F.stddev_pop("v") > S.FLAT)).alias("usable"))
+    complete = write_layer(R.complete_rows(moved, drivers).join(varies.filter("usable").drop("usable"), GROUP), "model-rows")
+    fits = write_layer(R.fits(complete, drivers), "model-fits")
+    stable = D.sign_stability(R.standardised(complete.join(fits.select(*GROUP), GROUP), drivers), fits, drivers)
+    checks = D.validity(moved, fits, drivers)
+    counted = complete.groupBy(*GROUP).agg(F.count("*").alias("n_rows"))
+    changed = tests.filter("driver = ''").select(*GROUP, F.col("differenced").alias("component_differenced"))
+    fitted = F.col("alpha").isNotNull()
+    slot = (F.col("slot") - 1).cast("int")
+    table = (tests.filter("driver <> ''").select(*PAIR, "slot", F.col("differenced").alias("driver_differenced"))
+             .join(changed, GROUP).join(counted, GROUP, "left").join(fits.drop("n", "p"), GROUP, "left").join(stable, GROUP, "left").join(checks, PAIR, "left"))
+    return Fitted(tests, fits, table.select(
+        *PAIR, F.when(fitted, "fitted").otherwise("insufficient_history").alias("model_status"),
+        F.coalesce(F.get("coef", slot), F.lit(0.0)).alias("historical_coefficient"), "holdout_r2", "p_value",
+        F.coalesce("is_significant", F.lit(False)).alias("is_significant"), F.coalesce(F.get("kept", slot), F.lit(0.0)).alias("coefficient_stability"),
+        "alpha", F.coalesce("n_rows", F.lit(0)).alias("n_observations"), "validity_method", "driver_differenced", "component_differenced"))

@@ -50,6 +50,12 @@ def stationarity(w: Workspace) -> DataFrame:
     return w.model.select(*PAIR.split(), "driver_differenced", "component_differenced")
 
 
+@query
+def unit_roots(w: Workspace) -> DataFrame:
+    """The test of every driver, and of the component itself as driver ''."""
+    return show(w.fitted.tests, f"{PAIR} n lag_order degenerate differenced", "statistic", 4)
+
+
 @query
 def component_model(w: Workspace) -> DataFrame:
     return show(w.model, f"{PAIR} model_status n_observations validity_method is_significant",

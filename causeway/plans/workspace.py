@@ -7,6 +7,7 @@ stays a lazy DataFrame.
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from causeway.operators import lags as L
 from causeway.operators import mart as M
 from causeway.operators import series as S
 from causeway.operators.changepoints import detect
-from causeway.operators.model import fitted_model
+from causeway.operators.model import Fitted, fitted_model
 from causeway.operators.narrative import narrate
 from causeway.operators.series import INCIDENT
 from causeway.session import drop_layers, tune, write_layer
@@ -137,9 +138,14 @@ class Workspace:
     def correlation_model(self) -> DataFrame:
         return E.correlation_model(self.signals)
 
+    @cached_property
+    def fitted(self) -> Fitted:
+        most = max(Counter((c.kpi, d.explains) for c in self.contracts.values() for d in c.drivers).values())
+        return fitted_model(self.signals, most)
+
     @cached_property
     def model(self) -> DataFrame:
-        return write_layer(fitted_model(self.signals), "model")
+        return write_layer(self.fitted.table, "model")
 
     def relationship(self) -> DataFrame:
         return self.correlation_model
