@@ -13,8 +13,8 @@ from causeway.operators.series import INCIDENT
 # Confidence thresholds and packet wording.
 MIN_TOP_GAP = 0.10
 MIN_TOP2_MASS = 0.55
-STALE_CAVEAT = "Source health issue detected for: %s. RCA confidence has been downgraded."
-GAP_CAVEAT = "Underlying source data is approximately %d day(s) stale."
+STALE_CAVEAT = "Faulty or late feeds behind this result: %s. Confidence is therefore low."
+GAP_CAVEAT = "The data behind this result is %d days old."
 
 
 def component_order(impacts: DataFrame) -> DataFrame:

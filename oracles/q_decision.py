@@ -63,8 +63,8 @@ CTE["packet"] = f"""
   SELECT *, CASE WHEN decision_type = 'monitor' OR NOT model_sufficient OR NOT healthy OR freshness_gap_days > 3 THEN 'Low'
               ELSE CASE CAST(top2_probability_mass < 0.55 AS INTEGER) + CAST(top_probability_gap < 0.10 AS INTEGER) + CAST(NOT top_ok AS INTEGER)
                 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END END AS confidence_level,
-         CASE WHEN stale_sources <> '' THEN 'Source health issue detected for: ' || replace(stale_sources, ',', ', ') || '. RCA confidence has been downgraded.'
-              WHEN freshness_gap_days > 3 THEN 'Underlying source data is approximately ' || freshness_gap_days || ' day(s) stale.' END AS freshness_caveat
+         CASE WHEN stale_sources <> '' THEN 'Faulty or late feeds behind this result: ' || replace(stale_sources, ',', ', ') || '. Confidence is therefore low.'
+              WHEN freshness_gap_days > 3 THEN 'The data behind this result is ' || freshness_gap_days || ' days old.' END AS freshness_caveat
   FROM (SELECT c.*, t.* EXCLUDE ({K}), v.* EXCLUDE ({K}), CASE WHEN c.is_material THEN 'investigate' ELSE 'monitor' END AS decision_type
         FROM changes c JOIN top t USING ({K}) JOIN verdict v USING ({K}))"""
 
@@ -178,10 +178,10 @@ CTE["calibrated"] = f"""
          round(CASE WHEN w > 0 THEN w / (w + 5.0) ELSE 0.0 END, 6) AS reliability,
          round(CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END, 6) AS adjustment, {READY} AS base_readiness_score,
          {READY} + round(CASE WHEN w > 0 THEN 0.1 * (s / w) * (w / (w + 5.0)) ELSE 0.0 END, 6) AS adjusted_readiness_score,
-         CASE WHEN primary_driver IS NULL THEN 'No primary driver/action level is available for feedback matching.'
-              WHEN sample_count > 0 THEN 'Bounded historical user-feedback calibration applied downstream of deterministic RCA.'
-              WHEN n_rows > 0 THEN 'Historical feedback rows were present but contained no valid dispositions.'
-              ELSE 'No eligible historical feedback exists for this decision pattern.' END AS reason FROM fsum"""
+         CASE WHEN primary_driver IS NULL THEN 'Without a leading driver there is no pattern to look ratings up by.'
+              WHEN sample_count > 0 THEN 'Earlier ratings of this pattern move the readiness figure within its bound.'
+              WHEN n_rows > 0 THEN 'Ratings of this pattern exist, but none holds a known verdict.'
+              ELSE 'Nobody has rated this pattern before the cut-off.' END AS reason FROM fsum"""
 add("feedback_calibration", f"SELECT {K}, applied, sample_count, same_region_count, reason, "
     + nums("effective_sample_size weighted_mean reliability adjustment base_readiness_score adjusted_readiness_score")
     + " FROM calibrated")

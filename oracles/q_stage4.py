@@ -52,15 +52,15 @@ CTE["gates0"] = f"""
 CTE["gates"] = f"""
   SELECT {K}, needs_verification, decision_type = 'investigate' AND action_level NOT IN ('monitor', 'data_quality_first') AND healthy
            AND (needs_verification OR is_ambiguous OR low OR close_gap OR unproven) AS clarification_needed,
-         CASE WHEN needs_verification THEN 'material external hypothesis requires independent public corroboration'
-              WHEN low OR close_gap OR unproven THEN concat_ws('; ', CASE WHEN low THEN 'overall confidence is Low' END,
-                CASE WHEN close_gap THEN printf('top hypothesis gap (%.3f) is below threshold', top_probability_gap) END,
-                CASE WHEN unproven THEN 'no candidate driver passed the significance/validity gate' END)
-              ELSE 'deterministic evidence was ambiguous' END AS reason,
-         CASE WHEN needs_verification THEN 'decision-relevant external hypothesis requires independent public corroboration'
-              WHEN is_ambiguous THEN 'deterministic evidence remains ambiguous' WHEN low THEN 'overall confidence is Low'
-              WHEN close_gap THEN 'leading hypotheses are insufficiently separated' WHEN unproven THEN 'no candidate driver passed the validity gate'
-              ELSE 'deterministic evidence requires clarification' END AS refresh_reason FROM gates0"""
+         CASE WHEN needs_verification THEN 'a strong outside driver has to be checked against public text'
+              WHEN low OR close_gap OR unproven THEN concat_ws('; ', CASE WHEN low THEN 'confidence is low' END,
+                CASE WHEN close_gap THEN printf('the two leading drivers are only %.3f apart', top_probability_gap) END,
+                CASE WHEN unproven THEN 'no driver has a valid relationship' END)
+              ELSE 'the computed evidence leaves the cause open' END AS reason,
+         CASE WHEN needs_verification THEN 'a stored outside driver has to be checked against public text'
+              WHEN is_ambiguous THEN 'the stored evidence leaves the cause open' WHEN low THEN 'confidence is low'
+              WHEN close_gap THEN 'the leading drivers are too close' WHEN unproven THEN 'no stored driver has a valid relationship'
+              ELSE 'the stored evidence needs a second look' END AS refresh_reason FROM gates0"""
 
 CTE["uniq"] = f"""
   SELECT *, ROW_NUMBER() OVER (PARTITION BY {K} ORDER BY pos) AS upos FROM (
@@ -159,8 +159,8 @@ add("plan_normalisation", f"""
          CASE WHEN bad IS NULL THEN p_query ELSE policy_query END AS retrieval_query,
          CASE WHEN bad IS NULL THEN p_target WHEN can_search THEN 'web' ELSE 'none' END AS retrieval_target,
          CASE WHEN bad IS NULL THEN 'generated' WHEN can_search THEN 'policy_fallback' ELSE 'safe_fallback' END AS planner_status,
-         CASE WHEN bad IS NOT NULL THEN 'planner output rejected: ' || bad WHEN up THEN 'planner route normalized by external retrieval policy'
-              WHEN target = 'web' AND p_target = 'internal' THEN 'web plan downgraded to internal: candidate hypotheses are not externally verifiable' END AS planner_reason
+         CASE WHEN bad IS NOT NULL THEN 'planner output rejected: ' || bad WHEN up THEN 'sent to public search, as the policy asks for this driver'
+              WHEN target = 'web' AND p_target = 'internal' THEN 'kept internal: no candidate can be checked against public text' END AS planner_reason
   FROM (SELECT *, {problem('q', 'p_query', 'p_target')} AS bad FROM (
     SELECT *, CASE WHEN up THEN policy_query WHEN p_target = 'web' THEN s END AS p_query FROM (
       SELECT *, CASE WHEN target = 'web' AND NOT can_search THEN 'internal' WHEN up THEN 'web' ELSE target END AS p_target FROM (

@@ -136,7 +136,7 @@ def test_reserved_slot_and_gate(spark):
     assert not stage(spark, level="monitor")["gate"].clarification_needed
     calm = [dict(r, driver_zscore=0.0) for r in REV]
     assert not stage(spark, calm)["gate"].clarification_needed
-    assert stage(spark, calm, any_driver_significant=False)["gate"].reason == "no candidate driver passed the significance/validity gate"
+    assert stage(spark, calm, any_driver_significant=False)["gate"].reason == "no driver has a valid relationship"
 
 
 def test_plan_from_policy(spark):
