@@ -133,9 +133,22 @@ def required_rows(n_drivers: Column) -> Column:
     return F.greatest(F.lit(MIN_ROWS), MIN_ROWS_PER_DRIVER * F.greatest(n_drivers, F.lit(1)))
 
 
+def complete_days(rows: str = "history_rows", lag: str = "best_lag_days") -> Column:
+    """History days on which the component has a value, and the driver had one ``lag`` rows before."""
+    there = lambda v: v.isNotNull() & ~F.isnan(v.cast("double"))
+    return F.array_compact(F.transform(rows, lambda r, i: F.when(
+        there(r["y"]) & there(F.get(F.col(rows), (i - F.col(lag)).cast("int"))["x"]), r["d"])))
+
+
 def model_sufficiency(signal: DataFrame) -> DataFrame:
-    """Sample-size gate per (incident, component) on the fewest complete history rows of its drivers."""
-    return signal.groupBy(*GROUP).agg(F.min("n_pairs").alias("observed"), F.count("*").alias("n_drivers")) \
+    """Sample-size gate per (incident, component) on the history days that are complete for all of its drivers at once.
+
+    A component's day sets are few and short (a driver each, at most 90 days), so they meet in one array.
+    """
+    sets = signal.select(*GROUP, complete_days().alias("days")).groupBy(*GROUP).agg(
+        F.collect_list("days").alias("sets"), F.count("*").alias("n_drivers"))
+    both = F.aggregate("sets", F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    return sets.select(*GROUP, "n_drivers", F.size(both).cast("bigint").alias("observed")) \
         .withColumn("required", required_rows(F.col("n_drivers"))) \
         .withColumn("model_status", F.when(F.col("observed") >= F.col("required"), "fitted")
                     .otherwise("insufficient_history"))

@@ -105,10 +105,17 @@ CTE["sig"] = f"""
             ELSE CASE WHEN historical_lag_correlation >= 1e-9 THEN 1 WHEN historical_lag_correlation <= -1e-9 THEN -1 ELSE 0 END END AS effect
         FROM sig0)"""
 
+CTE["gate_day"] = f"""
+  SELECT {G}, metric_date, y IS NOT NULL AND LAG(x, CAST(best_lag_days AS INTEGER)) OVER (PARTITION BY {P} ORDER BY metric_date) IS NOT NULL AS complete
+  FROM pair_days JOIN lag_choice USING ({P}) WHERE role = 'history'"""
+CTE["gate_size"] = f"SELECT {G}, COUNT(*) AS n_drivers FROM sig GROUP BY {G}"
+CTE["gate_seen"] = f"""
+  SELECT {G}, COUNT(*) AS observed FROM (
+    SELECT {G}, n_drivers, metric_date FROM gate_day JOIN gate_size USING ({G}) GROUP BY ALL HAVING COUNT(*) FILTER (complete) = n_drivers) GROUP BY {G}"""
 CTE["gate"] = f"""
   SELECT *, GREATEST(30, 10 * n_drivers) AS required,
          CASE WHEN observed >= GREATEST(30, 10 * n_drivers) THEN 'fitted' ELSE 'insufficient_history' END AS fit
-  FROM (SELECT {G}, MIN(n_pairs) AS observed, COUNT(*) AS n_drivers FROM sig GROUP BY ALL)"""
+  FROM (SELECT {G}, COALESCE(observed, 0) AS observed, n_drivers FROM gate_size LEFT JOIN gate_seen USING ({G}))"""
 
 CTE["ev0"] = f"""
   SELECT *, CASE WHEN is_break THEN 'structural_break' WHEN fit = 'fitted' THEN 'historical_relationship'

@@ -102,3 +102,17 @@ def test_mediator_discount(spark):
 
 def test_key_shape():
     assert set(KEY) == {"kpi", "region", "window_start"}
+
+
+def test_gate_counts_days_on_which_every_driver_has_a_value(spark):
+    """Two drivers that miss different days: neither alone is short, together they are."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)]
+    rows = lambda hole: [(d, None if hole(k) else float(k), None if k == 39 else 1.0) for k, d in enumerate(days)]
+    signal = spark.createDataFrame(
+        [("k", "r", days[0], "c", "even", 0, rows(lambda k: k < 8)), ("k", "r", days[0], "c", "late", 2, rows(lambda k: k >= 30)),
+         ("k", "r", days[0], "alone", "even", 0, rows(lambda k: k < 8)), ("k", "r", days[0], "none", "gone", 0, rows(lambda k: True))],
+        "kpi string, region string, window_start date, component string, driver string, best_lag_days int, "
+        "history_rows array<struct<d:date,x:double,y:double>>")
+    got = {r.component: (r.observed, r.n_drivers, r.required, r.model_status) for r in E.model_sufficiency(signal).collect()}
+    # even: days 8..38; late, two days on: days 2..31
+    assert got == {"c": (24, 2, 30, "insufficient_history"), "alone": (31, 1, 30, "fitted"), "none": (0, 1, 30, "insufficient_history")}
