@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,19 +17,48 @@ def as_text(field: T.StructField) -> Column:
     return F.coalesce(value, F.lit("\u0000"))
 
 
+def total(c: Column) -> Column:
+    return F.coalesce(F.sum(c.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+
+
+def print_sums(texts: list[Column]) -> list[Column]:
+    """Row count and the sums of both 64-bit halves of every row's md5; prints of two sets of rows add up.
+
+    Usable in ``agg`` and in ``observe``.
+    """
+    digest = F.md5(F.concat_ws("\u0001", *texts))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10)
+    return [F.count(F.lit(1)).alias("row_count"), total(half(1)).alias("high"), total(half(17)).alias("low")]
+
+
+def content_sum(high: Column, low: Column) -> Column:
+    return F.concat_ws(":", high.cast("string"), low.cast("string"))
+
+
 def fingerprint(df: DataFrame, method: str = "xxhash64") -> DataFrame:
     """Row count and an order-insensitive content sum; duplicates do not cancel out.
 
     ``md5`` sums both 64-bit halves of the digest of all columns, nested ones included.
     """
-    total = lambda c: F.coalesce(F.sum(c.cast("decimal(20,0)")), F.lit(0)).cast("string")
     if method == "md5":
-        digest = F.md5(F.concat_ws("\u0001", *[as_text(f) for f in df.schema.fields]))
-        half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10)
-        content = F.concat_ws(":", total(half(1)), total(half(17)))
-    else:
-        content = total(F.xxhash64(*df.columns))
-    return df.agg(F.count("*").alias("row_count"), content.alias("content_sum"))
+        return df.agg(*print_sums([as_text(f) for f in df.schema.fields])).select(
+            "row_count", content_sum(F.col("high"), F.col("low")).alias("content_sum"))
+    return df.agg(F.count("*").alias("row_count"), total(F.xxhash64(*df.columns)).cast("string").alias("content_sum"))
+
+
+def observed_print(df: DataFrame, texts: list[Column] | None = None) -> tuple[DataFrame, Observation]:
+    """The same rows, with their print taken while they are written.
+
+    Only for a frame that is written as it is: behind a shuffle a repeated task would count twice.
+    """
+    seen = Observation()
+    return df.observe(seen, *print_sums(texts or [as_text(f) for f in df.schema.fields])), seen
+
+
+def taken(seen: Observation) -> tuple[int, Decimal, Decimal]:
+    """(row_count, high, low) after the write; a write whose plan turned out empty observes nothing."""
+    got = seen.get
+    return got.get("row_count", 0), got.get("high", Decimal(0)), got.get("low", Decimal(0))
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def health_recall(w: Workspace) -> DataFrame:
 
 @query
 def isolation_audit(w: Workspace) -> DataFrame:
-    """Fingerprints of the raw tables, stored with the mart and taken again after the retrieval steps have written."""
+    """Fingerprints of the facts, taken while they were written and again after the retrieval steps have written."""
     stored = w.raw_prints
     w.supports  # noqa: B018  (the layer is written here)
     return Q.isolation(w.facts.market_context, stored, w.prints())

@@ -277,6 +277,5 @@ def margin_restricted(w: Workspace) -> DataFrame:
 
 @query
 def stored_prints(w: Workspace) -> DataFrame:
-    """The fingerprints of the raw tables that were stored when the mart was made."""
-    w.mart  # noqa: B018
+    """The fingerprints of the facts, taken in the pass that wrote them."""
     return w.raw_prints

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import Counter
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions.table import fingerprint
 from causeway.operators import action as A
 from causeway.operators import bundle as U
 from causeway.operators import corpus as K
@@ -62,18 +61,16 @@ class Workspace:
 
     @cached_property
     def mart(self) -> DataFrame:
-        """Written with the fingerprints of the raw tables it was made of."""
-        self.raw_prints  # noqa: B018
+        """The facts it is made of keep the prints that were taken while they were written."""
         return write_layer(self.mart_plan, "mart")
 
     def prints(self) -> DataFrame:
-        """(table_name, row_count, content_sum) of the raw tables as they are now."""
-        return reduce(lambda a, b: a.unionByName(b), [fingerprint(df, "md5").withColumn("table_name", F.lit(name))
-                                                      for name, df in self.facts.raw_tables().items()])
+        """(table_name, row_count, content_sum) of the facts as they are now."""
+        return self.facts.prints()
 
     @cached_property
     def raw_prints(self) -> DataFrame:
-        return write_layer(self.prints(), "raw-prints")
+        return self.facts.stored_prints()
 
     @cached_property
     def series(self) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.table import fingerprint
 from causeway.sources.tables import WRITABLE, Tables
 
 FEEDBACK = ("created_at timestamp, region string, kpi string, primary_driver string, action_level string, disposition string, "
@@ -27,8 +29,16 @@ class RawFacts:
     def ready(self) -> RawFacts:
         return self
 
-    def raw_tables(self) -> dict[str, DataFrame]:
-        return {name: self.tables.read(name) for name in WRITABLE["loader"] if self.tables.exists(name)}
+    def stored_prints(self) -> DataFrame:
+        """(table_name, row_count, content_sum) kept when the tables were loaded."""
+        return self.tables.raw_prints()
+
+    def prints(self) -> DataFrame:
+        """The same of the tables as they are now."""
+        found = [fingerprint(self.tables.read(name), "md5").withColumn("table_name", F.lit(name))
+                 for name in WRITABLE["loader"] if self.tables.exists(name)]
+        return reduce(lambda a, b: a.unionByName(b), found, self.tables.spark.createDataFrame(
+            [], "table_name string, row_count long, content_sum string"))
 
     def feedback(self, patterns: list[tuple[str, str, str]]) -> DataFrame:
         """Stored feedback, whatever its pattern; none if nobody has given any."""

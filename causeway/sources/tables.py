@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway.functions.table import content_sum, observed_print, taken
 from causeway.operators.feedback import accepted, rejected
 from causeway.session import write_layer
 
@@ -23,6 +24,7 @@ WRITABLE = {
     "loader": ("sales", "marketing", "market_context", "customer_success", "business_calendar", "metric_registry",
                "source_health"),
 }
+PRINT = "row_count long, high decimal(38,0), low decimal(38,0)"
 TELEMETRY = "created_at timestamp, operation_name string, latency_ms long, llm_calls int, estimated_cost_usd double, status string"
 
 
@@ -52,11 +54,28 @@ class Tables:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def write(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite", partitions: str = "static") -> None:
-        """Tables with a kpi column get one folder for each kpi, with as few files as adaptive execution finds useful."""
+        """Tables with a kpi column get one folder for each kpi, with as few files as adaptive execution finds useful.
+
+        A loaded table's print is taken in the same pass and kept; an appended load adds its own.
+        """
         self.guard(layer, name)
-        split = "kpi" in df.columns
-        out = (df.hint("rebalance", F.col("kpi")) if split else df).write.mode(mode).option("partitionOverwriteMode", partitions)
+        split, seen = "kpi" in df.columns, None
+        rows = df.hint("rebalance", F.col("kpi")) if split else df
+        if layer == "loader":
+            rows, seen = observed_print(rows)
+        out = rows.write.mode(mode).option("partitionOverwriteMode", partitions)
         (out.partitionBy("kpi") if split else out).parquet(self.path(name))
+        if seen is not None:
+            row = self.spark.createDataFrame([taken(seen)], PRINT)
+            row.coalesce(1).write.mode(mode).parquet(f"{self.path('raw_prints')}/table_name={name}")
+
+    def raw_prints(self) -> DataFrame:
+        """(table_name, row_count, content_sum) of the loaded tables, as taken while they were written."""
+        if not self.exists("raw_prints"):
+            return self.spark.createDataFrame([], "table_name string, row_count long, content_sum string")
+        rows = self.spark.read.schema(f"{PRINT}, table_name string").parquet(self.path("raw_prints"))
+        sums = rows.groupBy("table_name").agg(*[F.sum(c).alias(c) for c in ("row_count", "high", "low")])
+        return sums.select("table_name", "row_count", content_sum(F.col("high"), F.col("low")).alias("content_sum"))
 
     def append(self, layer: str, name: str, df: DataFrame) -> None:
         self.write(layer, name, df, "append")

@@ -8,13 +8,15 @@ is broadcast by hand: Spark decides from measured sizes.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from causeway.functions.table import content_sum, observed_print, print_sums, taken
 from causeway.session import write_layer
 
 PRICE_BASE = 250_000.0
@@ -32,12 +34,25 @@ def money(total, unit: str):
     return total.cast("decimal(20,0)") * F.lit(unit).cast("decimal(8,8)")
 
 
+def comparable(df: DataFrame) -> list:
+    """A fact's columns as texts that are the same everywhere: figures as whole numbers, times as days."""
+    def text(f: T.StructField):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DecimalType):
+            return (c * 10 ** 6).cast("decimal(38,0)")
+        if isinstance(f.dataType, T.DoubleType):
+            return scaled(f.name, 10 ** 6)
+        return F.to_date(c) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else c
+    return [F.coalesce(text(f).cast("string"), F.lit("\u0000")) for f in df.schema.fields]
+
+
 @dataclass
 class Testbed:
     """Raw facts read lazily from one folder of Parquet tables."""
 
     spark: SparkSession
     path: str
+    taken: dict[str, tuple] = field(default_factory=dict)
 
     __test__ = False
 
@@ -56,6 +71,28 @@ class Testbed:
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
         return write_layer(orders.join(place, "o_custkey").withColumn("day", F.to_date("o_orderdate")), "placed-orders")
 
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """A fact as a layer; its print is taken in the same pass."""
+        rows, seen = observed_print(df, comparable(df))
+        layer = write_layer(rows, name.replace("_", "-"))
+        self.taken[name] = taken(seen)
+        return layer
+
+    def stored_prints(self) -> DataFrame:
+        """(table_name, row_count, content_sum) of the daily facts, as taken while they were written."""
+        self.ready()
+        rows = self.spark.createDataFrame([(name, *self.taken[name]) for name in EXPECTED_ROWS],
+                                          "table_name string, row_count long, high decimal(38,0), low decimal(38,0)")
+        return rows.select("table_name", "row_count", content_sum(F.col("high"), F.col("low")).alias("content_sum"))
+
+    def prints(self) -> DataFrame:
+        """The same of the facts as they are now."""
+        facts = {name: getattr(self, name) for name in EXPECTED_ROWS}
+        return reduce(lambda a, b: a.unionByName(b), [
+            df.agg(*print_sums(comparable(df))).select(F.lit(name).alias("table_name"), "row_count",
+                                                       content_sum(F.col("high"), F.col("low")).alias("content_sum"))
+            for name, df in facts.items()])
+
     def ready(self) -> Testbed:
         """Write the four daily facts side by side, where they are not written yet."""
         self.placed_orders  # noqa: B018
@@ -70,7 +107,7 @@ class Testbed:
             F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size",
             F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
         rate = scaled("l_discount", 10_000)
-        return write_layer(
+        return self.written(
             self.table("lineitem").join(where, "l_orderkey").join(part, "l_partkey")
             .groupBy(F.to_date("l_shipdate").alias("sale_date"), "region", F.col("p_brand").alias("product_id"))
             .agg(
@@ -107,7 +144,7 @@ class Testbed:
                      F.col("f.o_orderpriority").alias("channel"))
             .agg(F.count("*").alias("new_customers"))
         )
-        return write_layer(
+        return self.written(
             placed.unionByName(first, allowMissingColumns=True).groupBy(*keys)
             .agg(*[F.sum(c).alias(c) for c in ("spend", "impressions", "sessions", "orders", "new_customers")],
                  F.max("source_loaded_at").alias("source_loaded_at")), "marketing")
@@ -116,7 +153,7 @@ class Testbed:
     def market_context(self) -> DataFrame:
         urgent = F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
         slow = F.avg(F.when(F.col("o_orderpriority") == "5-LOW", 1.0).otherwise(0.0))
-        return write_layer(
+        return self.written(
             self.placed_orders
             .groupBy(F.to_date(F.date_trunc("week", F.col("day"))).alias("week_start"), "region")
             .agg(
@@ -126,7 +163,7 @@ class Testbed:
                 F.when(urgent > 0.3, "ambiguous_local_event").alias("event_type"),
                 F.lit("scheduled_feed").alias("source_type"),
                 F.max("o_orderdate").alias("source_loaded_at"),
-            ), "market-context")
+            ), "market_context")
 
     @cached_property
     def customer_success(self) -> DataFrame:
@@ -136,12 +173,12 @@ class Testbed:
             flag(F.col("o_orderpriority") == "1-URGENT").alias("tickets"),
             flag(F.col("o_orderstatus") == "P").alias("partial"),
             F.count("*").alias("n"), F.max("o_orderdate").alias("at"))
-        return write_layer(per_customer.groupBy("activity_date", "region").agg(
+        return self.written(per_customer.groupBy("activity_date", "region").agg(
             F.count("*").alias("active_customers"),
             F.sum("lost").alias("churned_customers"),
             F.sum("tickets").alias("support_tickets"),
             (1.0 - 0.1 * F.sum("partial") / F.sum("n")).alias("platform_uptime_pct"),
-            F.max("at").alias("source_loaded_at")), "customer-success")
+            F.max("at").alias("source_loaded_at")), "customer_success")
 
     @cached_property
     def source_health(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import oracles.q_serving  # noqa: F401
 from oracles.base import CTE, build
-from oracles.q_mart import _RAW, nums, prints
+from oracles.q_mart import FACTS, nums, prints
 
 ORACLES: dict[str, str] = {}
 
@@ -80,7 +80,7 @@ add("health_recall", f"""
     "SELECT COUNT(*) AS eligible_cases, round", "SELECT n AS eligible_cases, round"))
 add("isolation_audit", f"""SELECT * FROM (SELECT COUNT(*) FILTER (source_type = 'orchestrator_retrieval') AS contaminated_rows FROM market_context),
   (SELECT COUNT(DISTINCT table_name) AS tables, COUNT(DISTINCT table_name) FILTER (row_count IS NULL OR content_sum IS NULL) AS changed_tables
-   FROM ({prints(_RAW)}))""")
+   FROM ({prints(FACTS)}))""")
 add("language_audit", """SELECT COUNT(*) AS checked, COALESCE(SUM(
     CASE WHEN action_level = 'act' AND movement_status <> 'material_movement' THEN 1 ELSE 0 END
     + CASE WHEN action_level = 'act' AND COALESCE(driver_direction, 'unknown') IN ('unchanged', 'unknown') THEN 1 ELSE 0 END

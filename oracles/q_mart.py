@@ -161,4 +161,13 @@ add("incident_status", f"""SELECT i.kpi, i.region, i.window_start, CASE WHEN h I
   LEFT JOIN (SELECT {KEYS}, MIN(history_rows) AS h, MIN(incident_rows) AS n FROM levels GROUP BY ALL) l
     ON l.kpi = i.kpi AND l.region = i.region AND l.window_start = i.window_start""")
 add("margin_restricted", "SELECT metric_date, region, 'margin_pct' AS hidden, " + nums("revenue units_sold", 5) + " FROM mart")
-add("stored_prints", prints(_RAW))
+_SIX = "CAST(({0}) * 1000000 AS HUGEINT)"
+FACTS = {"sales": ["sale_date", "region", "product_id", "units_sold", *map(_SIX.format, ("list_price", "unit_cost", "discount_pct", "net_revenue")),
+                   "inventory_units", "reorder_point", "CAST(source_loaded_at AS DATE)"],
+         "marketing": ["activity_date", "region", "channel", _SIX.format("spend"), "impressions", "sessions", "orders", "new_customers",
+                       "CAST(source_loaded_at AS DATE)"],
+         "market_context": ["week_start", "region", *(f"CAST(round_even({c} * 1e6, 0) AS BIGINT)" for c in ("competitor_price_index", "weather_index")),
+                            "event_type", "source_type", "CAST(source_loaded_at AS DATE)"],
+         "customer_success": ["activity_date", "region", "active_customers", "churned_customers", "support_tickets",
+                              "CAST(round_even(platform_uptime_pct * 1e6, 0) AS BIGINT)", "CAST(source_loaded_at AS DATE)"]}
+add("stored_prints", prints(FACTS))

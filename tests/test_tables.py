@@ -125,3 +125,22 @@ def test_run_over_raw_tables_of_anybody(spark, tables):
     assert tables.read("driver_evidence").count() > 0 and tables.read("decision_packets").count() == len(found)
     assert {(r.operation_name, r.status) for r in tables.read("runtime_telemetry").collect()} == {
         ("detect changepoints", "success"), ("decompose", "success"), ("score drivers", "success"), ("decide", "success")}
+
+
+def test_print_of_a_loaded_table_is_taken_while_it_is_written(spark, tables):
+    from causeway.operators import evaluate as Q
+    from causeway.sources.raw import RawFacts
+    day = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "a int, b string")
+    tables.write("loader", "sales", day)
+    tables.write("loader", "marketing", day.limit(0))
+    tables.append("loader", "sales", day)
+    facts = RawFacts(tables)
+    kept = lambda: {r.table_name: (r.row_count, r.content_sum) for r in facts.stored_prints().collect()}
+    found = lambda: {r.table_name: (r.row_count, r.content_sum) for r in facts.prints().collect()}
+    assert kept() == found() and kept()["sales"][0] == 6 and kept()["marketing"] == (0, "0:0")
+    tables.write("loader", "sales", day)  # a new load replaces the print too
+    assert kept() == found() and kept()["sales"][0] == 3
+    day.limit(2).write.mode("overwrite").parquet(tables.path("sales"))  # behind the loader's back
+    assert kept() != found()
+    context = spark.createDataFrame([("feed",)], "source_type string")
+    assert tuple(one(Q.isolation(context, facts.stored_prints(), facts.prints()))) == (0, 2, 1)
