@@ -34,6 +34,7 @@ def run(tables: Tables, cutoff: dt.datetime | None = None, anchors: DataFrame |
     step leaves a telemetry row, also when it fails. External evidence is asked for only with a
     corpus; ``anchors`` (incident, key, value) and ``assessments`` come from the caller.
     """
+    tables.recover()
     base = Workspace(tables.spark, facts=RawFacts(tables), cutoff=cutoff)
     given = {"anchors": anchors, "corpus": corpus, "raw_assessments": assessments}
     base.__dict__.update({k: v for k, v in given.items() if v is not None})

@@ -25,6 +25,7 @@ WRITABLE = {
                "source_health"),
 }
 PRINT = "row_count long, high decimal(38,0), low decimal(38,0)"
+STEPS = "layer string, kpi string, gone boolean"
 TELEMETRY = "created_at timestamp, operation_name string, latency_ms long, llm_calls int, estimated_cost_usd double, status string"
 
 
@@ -49,11 +50,27 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def _file(self, location: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def there(self, location: str) -> bool:
+        fs, path = self._file(location)
+        return fs.exists(path)
+
+    def remove(self, location: str) -> None:
+        fs, path = self._file(location)
+        fs.delete(path, True)
+
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.there(self.path(name))
+
+    def write(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+        self.guard(layer, name)
+        self.settle(name)
+        self.put(layer, name, df, mode)
 
-    def write(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite", partitions: str = "static") -> None:
+    def put(self, layer: str, name: str, df: DataFrame, mode: str = "overwrite", partitions: str = "static") -> None:
         """Tables with a kpi column get one folder for each kpi, with as few files as adaptive execution finds useful.
 
         A loaded table's print is taken in the same pass and kept; an appended load adds its own.
@@ -83,6 +100,7 @@ class Tables:
     def clear(self, layer: str, name: str) -> None:
         """Empty a derived table but keep its schema and its partitioning."""
         self.guard(layer, name)
+        self.settle(name)
         none = self.spark.createDataFrame([], self.read(name).schema)
         if "kpi" not in none.columns:
             none.write.mode("overwrite").parquet(self.path(name))
@@ -91,30 +109,58 @@ class Tables:
         none.drop("kpi").write.parquet(f"{self.path(name)}/kpi=__HIVE_DEFAULT_PARTITION__")  # an empty file that carries the schema
 
     def swap(self, layer: str, name: str, df: DataFrame, touched: DataFrame | None) -> None:
-        """Write a result that was read from the table itself: staged first, then swapped in.
+        """Write a result that was read from the table itself: staged with a plan first, then swapped in.
+
+        A run that ends in between leaves both, and the next change of the table or ``recover`` finishes it.
 
         ``touched``: the kpis whose partitions ``df`` holds; others stay as they are. Without it, the
         whole table is replaced. A touched partition of which no row is left is emptied.
         """
         self.guard(layer, name)
-        staged = write_layer(df, name)
+        rows, plan = f"{self.pending(name)}/rows", f"{self.pending(name)}/plan"
+        df.write.parquet(rows)
         if touched is None:
-            self.write(layer, name, staged)
+            steps = self.spark.createDataFrame([(layer, None, False)], STEPS)
+        else:
+            kept = self.spark.read.parquet(rows).select("kpi").distinct().withColumn("kept", F.lit(True))
+            steps = touched.select("kpi").distinct().join(kept, "kpi", "left").select(
+                F.lit(layer).alias("layer"), "kpi", F.col("kept").isNull().alias("gone"))
+        steps.coalesce(1).write.parquet(plan)
+        self.settle(name)
+
+    def pending(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/_pending/{name}"
+
+    def settle(self, name: str) -> None:
+        """Finish a change whose rows and plan are staged, which may be done twice; discard one that did not get so far."""
+        if not self.there(self.pending(name)):
             return
-        self.write(layer, name, staged, partitions="dynamic")
-        gone = [r["kpi"] for r in touched.select("kpi").distinct().join(staged.select("kpi").distinct(), "kpi", "left_anti").collect()]  # contract kpis
-        for kpi in gone:
-            # the path is one folder; its name is written as Spark writes it
-            folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("kpi", kpi)
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        plan = f"{self.pending(name)}/plan"
+        if self.there(f"{plan}/_SUCCESS"):
+            steps = self.spark.read.schema(STEPS).parquet(plan).collect()  # a row for each touched kpi of the contracts
+            staged = self.spark.read.parquet(f"{self.pending(name)}/rows")
+            whole = any(s["kpi"] is None for s in steps)
+            if steps:
+                self.put(steps[0]["layer"], name, staged, partitions="static" if whole else "dynamic")
+            for kpi in (s["kpi"] for s in steps if s["gone"]):
+                # the path is one folder; its name is written as Spark writes it
+                folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("kpi", kpi)
+                self.remove(f"{self.path(name)}/{folder}")
+        self.remove(self.pending(name))
+
+    def recover(self) -> None:
+        """Settle every change that an earlier run left unfinished. One run at a time changes the tables."""
+        for name in sorted({n for names in WRITABLE.values() for n in names}):
+            self.settle(name)
 
     def upsert(self, layer: str, name: str, new: DataFrame, keys: list[str]) -> None:
         """Replace rows by primary key, or create the table. Only the kpi partitions that receive rows are rewritten."""
         self.guard(layer, name)
+        self.settle(name)
         if not self.exists(name):
-            self.write(layer, name, new)
+            self.put(layer, name, new)
             return
+        new = write_layer(new, f"{name}-new")  # read three times
         old = self.read(name).select(*new.columns)
         mine = new.select("kpi").distinct()
         kept = old.join(mine, "kpi", "left_semi").join(new, keys, "left_anti").select(*new.columns)
@@ -122,6 +168,8 @@ class Tables:
 
     def update(self, layer: str, name: str, changes: DataFrame, keys: list[str]) -> None:
         """Set columns of the rows whose key appears in ``changes``; only their kpi partitions are rewritten."""
+        self.guard(layer, name)
+        self.settle(name)
         fresh = [c for c in changes.columns if c not in keys]
         old = self.read(name)
         touched = changes.select("kpi").distinct() if "kpi" in keys else None
@@ -135,6 +183,8 @@ class Tables:
 
     def delete(self, layer: str, name: str, condition: Column) -> None:
         """Remove rows; only the kpi partitions that hold such rows are rewritten."""
+        self.guard(layer, name)
+        self.settle(name)
         rows, hit = self.read(name), F.coalesce(condition, F.lit(False))
         if "kpi" not in rows.columns:
             self.swap(layer, name, rows.filter(~hit), None)

@@ -144,3 +144,37 @@ def test_print_of_a_loaded_table_is_taken_while_it_is_written(spark, tables):
     assert kept() != found()
     context = spark.createDataFrame([("feed",)], "source_type string")
     assert tuple(one(Q.isolation(context, facts.stored_prints(), facts.prints()))) == (0, 2, 1)
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop_at", ["put", "remove"])
+def test_a_change_that_was_cut_short_is_finished(spark, tmp_path, stop_at):
+    """The run ends before the rows are swapped in, or after it but before an emptied partition is gone."""
+    name, tables = "decision_packets", Tables(spark, str(tmp_path))
+    tables.upsert("analysis", name, spark.createDataFrame([("a", "x", 1, "1"), ("a", "y", 2, "2"), ("b", "x", 1, "3"), ("c", "x", 1, "4")], COLS), KEYS)
+
+    class Broken(Tables):
+        pass
+
+    def stop(self, *args, **kwargs):
+        raise Stopped
+    setattr(Broken, stop_at, stop)
+    with pytest.raises(Stopped):
+        Broken(spark, str(tmp_path)).delete("analysis", name, (F.col("kpi") == "b") | (F.col("region") == "y"))
+    later = Tables(spark, str(tmp_path))
+    later.recover()
+    assert rows(later.read(name)) == [("a", "x", 1, "1"), ("c", "x", 1, "4")]
+    assert not later.there(later.pending(name))
+    later.recover()  # nothing is left to do
+    assert later.read(name).count() == 2
+
+
+def test_a_change_without_a_plan_is_discarded(spark, tables):
+    name = "decision_packets"
+    tables.upsert("analysis", name, spark.createDataFrame([("a", "x", 1, "1")], COLS), KEYS)
+    spark.createDataFrame([("a", "x", 1, "half")], COLS).write.parquet(f"{tables.pending(name)}/rows")
+    tables.upsert("analysis", name, spark.createDataFrame([("b", "x", 1, "2")], COLS), KEYS)
+    assert rows(tables.read(name)) == [("a", "x", 1, "1"), ("b", "x", 1, "2")]
