@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.operators import evaluate as Q
 from causeway.operators.series import INCIDENT
@@ -103,3 +105,37 @@ def stored_changes(w: Workspace) -> DataFrame:
     tables.delete("analysis", name, F.col("region") == "EUROPE")
     tables.append("analysis", name, rows.filter("region = 'AFRICA'").withColumn("method", F.lit("log")))
     return tables.read(name).select(*CHANGEPOINT, "method")
+
+
+def loaded(w: Workspace) -> Tables:
+    """Orders as a CSV in which some dates and some prices are no dates and no prices, loaded."""
+    tables, key = scratch(w), F.col("o_orderkey")
+    folder = f"{tables.root}-csv"
+    w.facts.table("orders").select(
+        key, F.when(key % 11 == 0, "1999-02-30").otherwise(F.to_date("o_orderdate").cast("string")).alias("calendar_date"),
+        F.when(key % 13 == 0, "n/a").when(key % 17 == 0, "NaN").when(key % 19 == 0, " ")
+        .otherwise((key % 1000).cast("string")).alias("units"), F.col("o_orderstatus").alias("event_name")).write.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    tables.load_csv("business_calendar", folder, T.StructType.fromDDL("o_orderkey long, units int, calendar_date date"))
+    return tables
+
+
+@query
+def csv_loaded(w: Workspace) -> DataFrame:
+    """The rows that fit, blank cells as null."""
+    return loaded(w).read("business_calendar").select("o_orderkey", F.col("units").cast("bigint").alias("units"), "calendar_date")
+
+
+@query
+def csv_rejects(w: Workspace) -> DataFrame:
+    """The rows that do not fit, as they stand in the file, with the reasons."""
+    return loaded(w).read("load_rejects").select("table_name", "line", "reason")
+
+
+@query
+def bound_read(w: Workspace) -> DataFrame:
+    """A stored table asked by bound values; only the folder of one KPI is read."""
+    tables = scratch(w)
+    tables.upsert("analysis", "detected_changepoints", w.incidents.select("kpi", "region", F.col("window_start").alias("changepoint_date")), CHANGEPOINT)
+    return tables.ask("detected_changepoints", "SELECT kpi, region, changepoint_date FROM {rows} WHERE kpi = :kpi AND changepoint_date >= :since",
+                      kpi="revenue", since=dt.date(1995, 1, 1))

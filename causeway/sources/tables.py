@@ -20,11 +20,12 @@ WRITABLE = {
                  "orchestrator_updates", "evidence_bundle", "decision_packets", "clarification_requests"),
     "retrieval": ("retrieved_context",),
     "stage4": ("retrieved_context", "orchestrator_updates", "clarification_requests"),
-    "app": ("user_feedback", "runtime_telemetry"),
+    "app": ("user_feedback", "runtime_telemetry", "load_rejects"),
     "loader": ("sales", "marketing", "market_context", "customer_success", "business_calendar", "metric_registry",
                "source_health"),
 }
 PRINT = "row_count long, high decimal(38,0), low decimal(38,0)"
+BROKEN = "_broken_row"
 STEPS = "layer string, kpi string, gone boolean"
 TELEMETRY = "created_at timestamp, operation_name string, latency_ms long, llm_calls int, estimated_cost_usd double, status string"
 
@@ -196,15 +197,34 @@ class Tables:
         self.delete("app", "user_feedback", F.col("is_demo"))
 
     def load_csv(self, name: str, path: str, schema: T.StructType, append: bool = False) -> None:
-        """Load a CSV with a header; every schema column must be present, others are ignored."""
-        present = set(self.spark.read.option("header", True).csv(path).columns)
-        missing = [f.name for f in schema.fields if f.name not in present]
+        """Load a CSV with a header; every schema column must be present, others are ignored.
+
+        Blank cells and NaN are null. A row with a cell that does not fit its type, or with more or fewer cells than
+        the header, goes to ``load_rejects`` with its file and the reasons, and the rest are loaded.
+        """
+        header = self.spark.read.option("header", True).csv(path).columns
+        missing = [f.name for f in schema.fields if f.name not in header]
         if missing:
             raise ValueError(f"{name}: missing columns {', '.join(missing)}")
-        raw = self.spark.read.option("header", True).csv(path)
+        cells = T.StructType([T.StructField(c, T.StringType()) for c in header]).add(BROKEN, T.StringType())
+        raw = self.spark.read.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", BROKEN) \
+            .schema(cells).csv(path)
         text = lambda f: F.nullif(F.nullif(F.trim(F.col(f.name)), F.lit("")), F.lit("NaN"))
-        df = raw.select(*[text(f).cast(f.dataType).alias(f.name) for f in schema.fields])
-        self.write("loader", name, df, "append" if append else "overwrite")
+        unfit = [F.when(text(f).isNotNull() & text(f).try_cast(f.dataType).isNull(),
+                        F.format_string(f"{f.name}: '%s' is no {f.dataType.simpleString()}", F.col(f.name))) for f in schema.fields]
+        reason = F.when(F.col(BROKEN).isNotNull(), "number of cells differs from the header").otherwise(
+            F.nullif(F.concat_ws("; ", *unfit), F.lit("")))
+        line = F.coalesce(BROKEN, F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in header]))
+        # one parse serves both tables
+        parsed = write_layer(raw.select(F.struct(*[text(f).try_cast(f.dataType).alias(f.name) for f in schema.fields]).alias("cells"),
+                                        F.col("_metadata.file_path").alias("file"), line.alias("line"), reason.alias("reason")), f"{name}-csv")
+        self.append("app", "load_rejects", parsed.filter("reason IS NOT NULL").select(
+            F.lit(name).alias("table_name"), "file", "line", "reason"))
+        self.write("loader", name, parsed.filter("reason IS NULL").select("cells.*"), "append" if append else "overwrite")
+
+    def ask(self, name: str, text: str, **values) -> DataFrame:
+        """Rows of a table by a statement over ``{rows}`` with bound values, as in ``WHERE kpi = :kpi``; partitions are pruned by them."""
+        return self.spark.sql(text, args=values, rows=self.read(name))
 
     def record_feedback(self, rows: DataFrame) -> DataFrame:
         """Append feedback with a known disposition; the rejected rows are returned."""

@@ -87,3 +87,12 @@ add("stored_changes", """
   SELECT kpi, region, window_start AS changepoint_date, CASE WHEN region = 'ASIA' THEN 'third' WHEN kpi = 'revenue' THEN 'second' ELSE 'first' END AS method
   FROM incidents WHERE region <> 'EUROPE'
   UNION ALL SELECT kpi, region, window_start, 'log' FROM incidents WHERE region = 'AFRICA'""")
+_CSV = """(SELECT o_orderkey, o_orderkey % 11 = 0 AS bad_day, o_orderkey % 13 = 0 AS bad_units, CAST(o_orderdate AS DATE) AS day, o_orderstatus,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'NaN' WHEN o_orderkey % 19 = 0 THEN ' ' ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS units FROM orders)"""
+ORACLES["csv_loaded"] = f"""SELECT o_orderkey, TRY_CAST(NULLIF(NULLIF(units, 'NaN'), ' ') AS BIGINT) AS units, day AS calendar_date
+  FROM {_CSV} WHERE NOT bad_day AND NOT bad_units"""
+ORACLES["csv_rejects"] = f"""SELECT 'business_calendar' AS table_name,
+  concat_ws(',', o_orderkey, CASE WHEN bad_day THEN '1999-02-30' ELSE CAST(day AS VARCHAR) END, CASE WHEN bad_units THEN 'n/a' ELSE units END, o_orderstatus) AS line,
+  concat_ws('; ', CASE WHEN bad_units THEN 'units: ''n/a'' is no int' END, CASE WHEN bad_day THEN 'calendar_date: ''1999-02-30'' is no date' END) AS reason
+  FROM {_CSV} WHERE bad_day OR bad_units"""
+add("bound_read", "SELECT kpi, region, window_start AS changepoint_date FROM incidents WHERE kpi = 'revenue' AND window_start >= DATE '1995-01-01'")

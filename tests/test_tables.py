@@ -178,3 +178,23 @@ def test_a_change_without_a_plan_is_discarded(spark, tables):
     spark.createDataFrame([("a", "x", 1, "half")], COLS).write.parquet(f"{tables.pending(name)}/rows")
     tables.upsert("analysis", name, spark.createDataFrame([("b", "x", 1, "2")], COLS), KEYS)
     assert rows(tables.read(name)) == [("a", "x", 1, "1"), ("b", "x", 1, "2")]
+
+
+def test_rows_that_do_not_fit_are_kept_apart(spark, tables, tmp_path):
+    f = tmp_path / "in.csv"
+    f.write_text("a,b,d\n1,x,2024-02-29\nten,y,2024-01-01\n3,z\n4,w,2023-02-29,9\n,v,NaN\n")
+    tables.load_csv("sales", str(f), T.StructType.fromDDL("d date, a int"))
+    assert sorted((str(r.d), r.a) for r in tables.read("sales").collect()) == [("2024-02-29", 1), ("None", None)]
+    got = {r.line: r.reason for r in tables.read("load_rejects").collect()}
+    assert got == {"ten,y,2024-01-01": "a: 'ten' is no int", "3,z": "number of cells differs from the header",
+                   "4,w,2023-02-29,9": "number of cells differs from the header"}
+    assert tables.read("load_rejects").first().file.endswith("in.csv")
+
+
+def test_bound_values_are_values_and_prune(spark, tables):
+    name = "decision_packets"
+    tables.upsert("analysis", name, spark.createDataFrame([("a", "x", 1, "1"), ("b'; --", "x", 1, "2")], COLS), KEYS)
+    got = tables.ask(name, "SELECT * FROM {rows} WHERE kpi = :kpi", kpi="b'; --")
+    assert rows(got) == [("b'; --", "x", 1, "2")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kpi" in plan
