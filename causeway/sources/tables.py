@@ -83,6 +83,8 @@ class Tables:
             rows, seen = observed_print(rows)
         out = rows.write.mode(mode).option("partitionOverwriteMode", partitions)
         (out.partitionBy("kpi") if split else out).parquet(self.path(name))
+        if split:
+            self.carry(name, df)
         if seen is not None:
             row = self.spark.createDataFrame([taken(seen)], PRINT)
             row.coalesce(1).write.mode(mode).parquet(f"{self.path('raw_prints')}/table_name={name}")
@@ -102,12 +104,14 @@ class Tables:
         """Empty a derived table but keep its schema and its partitioning."""
         self.guard(layer, name)
         self.settle(name)
-        none = self.spark.createDataFrame([], self.read(name).schema)
-        if "kpi" not in none.columns:
-            none.write.mode("overwrite").parquet(self.path(name))
-            return
-        none.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("kpi").parquet(self.path(name))
-        none.drop("kpi").write.parquet(f"{self.path(name)}/kpi=__HIVE_DEFAULT_PARTITION__")  # an empty file that carries the schema
+        self.put(layer, name, self.spark.createDataFrame([], self.read(name).schema))
+
+    def carry(self, name: str, like: DataFrame) -> None:
+        """A partitioned table without rows has no file; an empty one then carries the schema."""
+        fs, path = self._file(f"{self.path(name)}/kpi=*")
+        if not fs.globStatus(path):
+            self.spark.createDataFrame([], like.drop("kpi").schema).write.parquet(
+                f"{self.path(name)}/kpi=__HIVE_DEFAULT_PARTITION__")
 
     def swap(self, layer: str, name: str, df: DataFrame, touched: DataFrame | None) -> None:
         """Write a result that was read from the table itself: staged with a plan first, then swapped in.
@@ -147,6 +151,8 @@ class Tables:
                 # the path is one folder; its name is written as Spark writes it
                 folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("kpi", kpi)
                 self.remove(f"{self.path(name)}/{folder}")
+            if "kpi" in staged.columns:
+                self.carry(name, staged)
         self.remove(self.pending(name))
 
     def recover(self) -> None:

@@ -34,6 +34,20 @@ def test_upsert_update_append_clear(spark, tables):
     assert tables.read(name).count() == 0
 
 
+def test_tables_without_rows_keep_their_schema(spark, tables):
+    name, none = "decision_packets", spark.createDataFrame([], COLS)
+    tables.upsert("analysis", name, none, KEYS)
+    assert tables.read(name).count() == 0
+    tables.upsert("analysis", name, none, KEYS)
+    tables.upsert("analysis", name, spark.createDataFrame([("a", "x", 1, "new")], COLS), KEYS)
+    assert rows(tables.read(name)) == [("a", "x", 1, "new")]
+    tables.delete("analysis", name, F.col("kpi") == "a")
+    assert rows(tables.read(name)) == []
+    tables.append("analysis", name, none)
+    tables.upsert("analysis", name, spark.createDataFrame([("b", "y", 2, "late")], COLS), KEYS)
+    assert rows(tables.read(name)) == [("b", "y", 2, "late")]
+
+
 def test_write_guard(spark, tables):
     df = spark.range(1)
     for layer, name in (("analysis", "sales"), ("retrieval", "driver_evidence"), ("app", "decision_packets"), ("other", "x")):
