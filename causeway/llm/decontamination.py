@@ -1,16 +1,19 @@
-"""Benchmark decontamination by joint ranks of benchmark and training suffixes.
+"""Benchmark decontamination by suffix arrays of training shards.
 
 A shard is a few megabytes of whole texts. Its words (ASCII letters and digits, and everything
-beyond ASCII; A-Z lowered) become one sequence with a separator after each text, the benchmark's
-words are appended, and the prefixes of both sides' suffixes are ranked together by prefix doubling.
-Training suffixes of a rank that some test suffix has are sorted, and every test suffix is
-binary-searched among them. Equal ranks of the searched length give the verbatim matches and their
-places; matches are followed word by word to their full length. (This is not a suffix array of the
-whole shard.)
+beyond ASCII; A-Z lowered) become one sequence with a separator after each text. The suffixes of
+that sequence are sorted to the depth of the window by prefix doubling. Every test suffix is then
+binary-searched: its first word gives a range of the array, and each further word narrows the range
+by two binary searches, until the window is complete or the range is empty. What is left of a range
+are the places of the window in the shard. Windows that follow each other on both sides join to the
+longest verbatim matches.
 
-The benchmark is read in blocks of at most ``block_words`` words; one block is broadcast at a time,
-so memory does not grow with the benchmark. Shards do not interact: nothing is shuffled unless
-there is more than one block.
+The order of words is that of their hashes. The work of a shard is its own sort and the searches,
+most of which end after two or three words; benchmark words are never sorted with a shard.
+
+The benchmark's words are hashed in tasks and read in blocks of at most ``block_words`` words; one
+block is broadcast at a time, so memory does not grow with the benchmark. Shards do not interact:
+nothing is shuffled unless there is more than one block.
 
 A null text has no words. An item without words matches nothing; an item shorter than the window is
 matched whole. Repeated documents each get their row and repeated items count each by its id. Rows go by
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,69 +33,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.shuffle import keyed
-from causeway.llm.tokens import ALNUM, chunks, words
+from causeway.llm.tokens import ALNUM, Words, chunks, words
 from causeway.session import write_layer
 
 WINDOW = 10
-DEPTH = 16
 SHARD_BYTES = 1 << 22
 BLOCK_WORDS = 4_000_000
 
 
+def word_hashes(w: Words) -> np.ndarray:
+    """Hashes of words; never 0, which separates texts."""
+    h = w.hashes()
+    h[h == 0] = 1
+    return h
+
+
 @dataclass
 class Block:
-    """Benchmark items: word hashes of all items one after the other, and where each begins."""
+    """Benchmark items: word hashes of all items one after the other, where each begins, and the words as places in ``names``."""
 
     ids: list[str]
     hashes: np.ndarray
     first: np.ndarray
+    names: np.ndarray = field(init=False)
+    code: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.names, code = np.unique(self.hashes, return_inverse=True)
+        self.code = code.astype(np.int32)
+
+
+def hashed(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, words): the word hashes of each item, eight bytes a word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(1)):
+                w = words(c, ALNUM, lower=True)
+                bounds = pa.py_buffer((w.first * 8).astype(np.int64).tobytes())
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), c.hi - c.lo, [None, bounds, pa.py_buffer(word_hashes(w).tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), blobs.cast(pa.binary())], names=["item", "words"])
+    return (benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+            .mapInArrow(run, "item string, words binary").where("length(words) > 0"))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks, read row by row: the driver holds one block."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    """The benchmark in blocks: the driver holds one block and one partition of hashes."""
     ids, parts, total = [], [], 0
 
     def block() -> Block:
         return Block(ids, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
-    for row in rows.toLocalIterator():
-        for chunk in chunks(pa.array([row["t"]])):
-            h = words(chunk, ALNUM, lower=True).hashes()
-            if not len(h):
-                continue
-            if parts and total + len(h) > block_words:
-                yield block()
-                ids, parts, total = [], [], 0
-            ids.append(row["i"])
-            parts.append(h)
-            total += len(h)
+    for row in hashed(benchmark, id_col, text_col).toLocalIterator():
+        h = np.frombuffer(row["words"], np.uint64)
+        if parts and total + len(h) > block_words:
+            yield block()
+            ids, parts, total = [], [], 0
+        ids.append(row["item"])
+        parts.append(h)
+        total += len(h)
     if parts:
         yield block()
 
 
-def ranks(first: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the prefixes of 1, 2, 4, 8 and 16 words of every suffix; equal ranks mean equal prefixes."""
-    out = [first.astype(np.int64)]
-    span = 1
-    while span < DEPTH:
-        last = out[-1]
-        pair = last << 32
-        pair[:-span] |= last[span:]
-        out.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+def shifted(rank: np.ndarray, by: int) -> np.ndarray:
+    """Rank of what follows ``by`` words on; that of the separator beyond the end."""
+    return np.concatenate([rank[by:], np.zeros(min(by, len(rank)), np.int64)])
+
+
+def suffix_array(sequence: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words, the place of each word in these, and all suffixes in the order of their first ``depth`` words."""
+    vocabulary, word = np.unique(sequence, return_inverse=True)
+    rank, key, done, span = word.astype(np.int64), None, 0, 1
+    while 2 * span <= depth:  # rank: of the first ``span`` words; key: of the first ``done`` words
+        if depth & span:
+            part = shifted(rank, done)
+            key = part if key is None else np.unique(key << 32 | part, return_inverse=True)[1]
+            done += span
+        rank = np.unique(rank << 32 | shifted(rank, span), return_inverse=True)[1]
         span *= 2
-    return out
+    last = shifted(rank, done)
+    return vocabulary, word, np.argsort(last if key is None else key << 32 | last)
 
 
-def prefix_rank(levels: list[np.ndarray], n: int, size: int) -> np.ndarray:
-    """Ranks of the first n <= 16 words of the first ``size`` suffixes, as one key each."""
-    key, at = None, 0
-    for k in range(len(levels) - 1, -1, -1):
-        if n & (1 << k):
-            part = levels[k][at:]
-            part = np.pad(part[:size], (0, max(0, size - len(part))))
-            key = part if key is None else np.unique((key << 32) | part, return_inverse=True)[1].astype(np.int64)
-            at += 1 << k
-    return key
+def bound(column: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each range of suffixes, the first one whose word in ``column`` is not below ``want``."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        less = column[places[mid]] < want[live]
+        lo[live[less]] = mid[less] + 1
+        hi[live[~less]] = mid[~less]
+        live = live[lo[live] < hi[live]]
+    return lo
 
 
 @dataclass
@@ -105,48 +137,46 @@ class Matches:
     length: np.ndarray
 
 
-def search(sequence: np.ndarray, block: Block, window: int) -> tuple[Matches, np.ndarray]:
-    """Matches of the block's windows in a shard's word hashes (0 separates texts), and the joint word ids."""
-    n_train = len(sequence)
-    items = np.diff(block.first)
-    gap = np.zeros(DEPTH, np.uint64)
-    joint = np.concatenate([sequence, gap, *[np.concatenate([block.hashes[a:b], gap]) for a, b in zip(block.first[:-1], block.first[1:])]])
-    begin = n_train + DEPTH + block.first[:-1] + DEPTH * np.arange(len(items))
-    word = np.unique(joint, return_inverse=True)[1].astype(np.int64)
-    levels = ranks(word)
+def search(sequence: np.ndarray, block: Block, window: int) -> Matches:
+    """Matches of the block's windows in a shard's word hashes (0 separates texts)."""
+    vocabulary, word, places = suffix_array(sequence, window)
+    word = np.concatenate([word, np.zeros(window, np.int64)])
+    at = np.minimum(np.searchsorted(vocabulary, block.names), len(vocabulary) - 1)
+    known = np.where(vocabulary[at] == block.names, at, -1)
+    size = np.diff(block.first)
+    ask = np.flatnonzero(known[block.code] >= 0)  # test suffixes whose first word the shard has
+    item = np.searchsorted(block.first, ask, "right") - 1
+    whole = ask + np.minimum(size, window)[item] <= block.first[item + 1]
+    ask, item = ask[whole], item[whole]
+    starts = np.searchsorted(word[places], np.arange(len(vocabulary) + 1))
+    code = known[block.code[ask]]
+    lo, hi = starts[code], starts[code + 1]
     found: list[tuple[np.ndarray, ...]] = []
-    for length in np.unique(np.minimum(items, window)):
-        mine = np.flatnonzero(np.minimum(items, window) == length)
-        starts = items[mine] - length + 1 if length == window else np.ones(len(mine), np.int64)
-        item = np.repeat(mine, starts)
-        place = np.arange(len(item)) - np.repeat(np.cumsum(starts) - starts, starts)
-        key = prefix_rank(levels, int(length), len(joint))
-        asked = key[begin[item] + place]
-        known = np.zeros(key.max() + 1, bool)
-        known[asked] = True
-        train = np.flatnonzero(known[key[:n_train]])          # suffixes with a rank somebody asks for
-        train = train[np.argsort(key[train], kind="stable")]  # this part of the suffix array, in rank order
-        low = np.searchsorted(key[train], asked, "left")
-        count = np.searchsorted(key[train], asked, "right") - low
-        which = np.repeat(np.arange(len(asked)), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
-        found.append((train[at], item[which], place[which], np.full(len(which), length)))
-    parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
-    return Matches(*parts), word
-
-
-def longest(m: Matches, word: np.ndarray, block: Block) -> np.ndarray:
-    """Full length of each match, going on word by word from its window."""
-    begin = len(word) - (block.first[-1] - block.first[:-1]) - DEPTH * (len(block.first) - 1 - np.arange(len(block.first) - 1))
-    length = m.length.copy()
-    live = np.arange(len(length))
-    blank = word.min()
-    while len(live):
-        a, b = m.position[live] + length[live], begin[m.item[live]] + m.place[live] + length[live]
-        same = (word[np.minimum(a, len(word) - 1)] == word[np.minimum(b, len(word) - 1)]) & (word[np.minimum(b, len(word) - 1)] != blank)
-        live = live[same]
-        length[live] += 1
-    return length
+    for depth in range(1, window + 1):
+        full = np.minimum(size, window)[item] == depth
+        count = (hi - lo)[full]
+        which = np.repeat(np.flatnonzero(full), count)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        found.append((places[lo[which] + nth], item[which], ask[which] - block.first[item[which]], np.full(len(which), depth)))
+        ask, item, lo, hi = (v[~full] for v in (ask, item, lo, hi))
+        want = known[block.code[ask + depth]]
+        ask, item, lo, hi, want = (v[want >= 0] for v in (ask, item, lo, hi, want))
+        column = word[depth:]
+        lo, hi = bound(column, places, lo, hi, want), bound(column, places, lo, hi, want + 1)
+        ask, item, lo, hi = (v[lo < hi] for v in (ask, item, lo, hi))
+    return Matches(*[np.concatenate(x) for x in zip(*found)])
+
+
+def longest(m: Matches) -> np.ndarray:
+    """Full length of each match: a match goes on as far as windows follow each other in the text and in the item."""
+    order = np.lexsort((m.position, m.position - m.place, m.item))
+    position, place, item = m.position[order], m.place[order], m.item[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(position) != 1) | (np.diff(place) != 1) | (np.diff(item) != 0)
+    ends = np.append(np.flatnonzero(new)[1:], len(order))
+    out = m.length.copy()
+    out[order] += ends[np.cumsum(new) - 1] - 1 - np.arange(len(order))
+    return out
 
 
 def scan(docs: DataFrame, block: Block, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -158,13 +188,12 @@ def scan(docs: DataFrame, block: Block, window: int, id_col: str, text_col: str)
         for b in batches:
             for c in chunks(b.column(2), SHARD_BYTES):
                 w = words(c, ALNUM, lower=True)
-                h, rows = w.hashes(), c.hi - c.lo
-                h[h == 0] = 1
+                h, rows = word_hashes(w), c.hi - c.lo
                 spaced = np.zeros(len(h) + rows, np.uint64)
                 home = np.arange(len(h)) + w.row
                 spaced[home] = h
-                m, word = search(spaced, block, window)
-                full = longest(m, word, block)
+                m = search(spaced, block, window)
+                full = longest(m)
                 owner = np.full(len(spaced), -1)
                 owner[home] = w.row
                 row = owner[m.position]

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from causeway.llm import decontamination, language_id, language_model, license_scan, toxicity
@@ -45,6 +46,34 @@ def test_decontamination_matches_brute_force(spark, block_words):
     assert sorted(map(tuple, decontamination.summary(found).collect())) == expected_hits(DOCS, ITEMS)
 
 
+def test_suffix_array_and_search_match_plain_sorting():
+    draw = np.random.default_rng(3)
+    for window in (1, 2, 3, 7, 10, 16, 19):
+        sequence = draw.integers(1, 4, 400).astype(np.uint64)
+        sequence[[0, 90, 91, 250, 399]] = 0
+        padded = sequence.tolist() + [0] * window
+        suffix = lambda p: padded[p:p + window]
+        places = decontamination.suffix_array(sequence, window)[2]
+        assert sorted(places) == list(range(400)) and [suffix(p) for p in places] == sorted(map(suffix, range(400)))
+        sizes = draw.integers(1, 30, 20)
+        items = [draw.integers(1, 5, n).astype(np.uint64) for n in sizes] + [sequence[100:140]]
+        block = decontamination.Block([str(k) for k in range(21)], np.concatenate(items), np.concatenate([[0], np.cumsum([len(i) for i in items])]))
+        m = decontamination.search(sequence, block, window)
+        full = decontamination.longest(m)
+        want = set()
+        for k, words_ in enumerate(items):
+            n, it = min(len(words_), window), words_.tolist()
+            for q in range(len(it) - n + 1):
+                for p in range(400):
+                    if padded[p:p + n] == it[q:q + n]:
+                        e = n
+                        while q + e < len(it) and padded[p + e] == it[q + e]:
+                            e += 1
+                        want.add((p, k, q, n, e))
+        got = list(zip(*(v.tolist() for v in (m.position, m.item, m.place, m.length, full))))
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_longest_matches_and_their_places(spark):
     item = " ".join(f"b{k}" for k in range(30))
     doc = "lead in " + " ".join(f"b{k}" for k in range(4, 25)) + " tail"
