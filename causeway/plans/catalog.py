@@ -44,5 +44,5 @@ def bound(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str],
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from causeway.plans import (  # noqa: F401
-        q_contracts, q_evaluate, q_evidence, q_mart, q_model, q_serving, q_stage4, q_decision)
+        q_contracts, q_evaluate, q_evidence, q_mart, q_model, q_serving, q_stage4, q_stored, q_decision)
     return {name: bound(fn) for name, fn in QUERIES.items()}

@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from causeway.operators import bundle as U
 from causeway.operators.series import INCIDENT
+from causeway.plans.refresh import weight_changes
 from causeway.plans.workspace import Workspace
 from causeway.sources.raw import RawFacts
 from causeway.sources.tables import Tables
@@ -19,13 +19,6 @@ SPLIT = [*INCIDENT, "decomposition_type", "component_a", "component_b", "a0", "a
          "interaction_effect", "residual", "is_volatile", "narrative_mode", "kpi_baseline", "percent_change", "is_material"]
 
 
-def outside(w: Workspace) -> DataFrame:
-    """Audit rows of the incidents whose weights external evidence changed."""
-    return w.fused.join(w.web_plans.select(*INCIDENT, "retrieval_query"), INCIDENT).select(
-        *PAIR, "retrieval_query", F.col("softmax_probability").alias("probability_before"), "retrieval_support",
-        F.col("fused_probability").alias("probability_after"), F.current_timestamp().alias("updated_at"))
-
-
 def run(tables: Tables, cutoff: dt.datetime | None = None, anchors: DataFrame | None = None, corpus: DataFrame | None = None,
         assessments: DataFrame | None = None) -> Workspace:
     """Detect, explain and store.
@@ -52,7 +45,7 @@ def run(tables: Tables, cutoff: dt.datetime | None = None, anchors: DataFrame |
     if corpus is not None:
         with tables.timed("external evidence"):
             tables.append("stage4", "retrieved_context", w.retrieved)
-            tables.append("stage4", "orchestrator_updates", outside(w))
+            tables.append("stage4", "orchestrator_updates", weight_changes(w.fused, w.web_plans.select(*INCIDENT, "retrieval_query")))
             tables.append("stage4", "clarification_requests", w.plans.drop("candidates", "anchors"))
         with tables.timed("bundle"):
             tables.upsert("analysis", "evidence_bundle", U.to_documents(w.bundles), INCIDENT)

@@ -127,7 +127,7 @@ def evidence_bundle(w: Workspace) -> DataFrame:
 def bundle_round_trip(w: Workspace) -> DataFrame:
     """Bundles written as JSON and parsed again, counted by what they hold."""
     docs = U.to_documents(w.bundles)
-    back = U.from_documents(docs, w.bundles.schema["bundle"].dataType)
+    back = U.from_documents(docs)
     return back.select(*INCIDENT, F.col("bundle.decision.action_context.action_level").alias("action_level"),
                        F.size("bundle.deterministic_evidence.ranked_drivers").cast("bigint").alias("n_drivers"),
                        F.size("bundle.decomposition.components").cast("bigint").alias("n_components"))

@@ -36,6 +36,13 @@ def stored(bundles: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def weight_changes(fused: DataFrame, asked: DataFrame) -> DataFrame:
+    """Audit rows of the incidents whose weights external evidence may have changed. ``asked``: (incident, retrieval_query)."""
+    return fused.join(asked, INCIDENT).select(
+        *INCIDENT, "component", "driver", "retrieval_query", F.col("softmax_probability").alias("probability_before"),
+        "retrieval_support", F.col("fused_probability").alias("probability_after"), F.current_timestamp().alias("updated_at"))
+
+
 def without_totals(packets: DataFrame) -> DataFrame:
     """total_change is stored in the decomposition and in the decision; keep one."""
     names, out = set(), []
@@ -47,9 +54,11 @@ def without_totals(packets: DataFrame) -> DataFrame:
     return flat.select(*[F.col(f"_{i}").alias(packets.columns[i]) for i in out])
 
 
-def layers(bundles: DataFrame) -> dict[str, DataFrame]:
-    """The stored parts with the three that every rerun reads written as tables."""
+def layers(bundles: DataFrame, drivers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stored parts with the three that every rerun reads written as tables; ``drivers`` fills what older rows lack."""
     parts = stored(bundles)
+    if drivers is not None:
+        parts["evidence"] = enrich(parts["evidence"], drivers)
     parts["packets"] = without_totals(parts["packets"])
     return parts | {name: write_layer(parts[name], name) for name in ("evidence", "packets", "impacts")}
 
@@ -65,10 +74,14 @@ def rebuild(parts: dict[str, DataFrame], evidence: DataFrame, plans: DataFrame,
                      narrate(packets, flat, counts))
 
 
-def refresh_external(bundles: DataFrame, policy: DataFrame, anchors: DataFrame, playbook: DataFrame, feedback: DataFrame,
-                     cutoff: dt.datetime, sources: DataFrame, raw_assessments: DataFrame) -> DataFrame:
-    """Rerun gate, plan and fusion from stored deterministic evidence; earlier fusion is dropped first."""
-    parts = layers(bundles)
+def external_layers(bundles: DataFrame, policy: DataFrame, anchors: DataFrame, playbook: DataFrame, feedback: DataFrame,
+                    cutoff: dt.datetime, sources: DataFrame, raw_assessments: DataFrame,
+                    drivers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Rerun gate, plan and fusion from stored deterministic evidence; earlier fusion is dropped first.
+
+    Gives the new ``bundles``, and the ``plans``, ``retrieved`` sources and ``fused`` weights behind them.
+    """
+    parts = layers(bundles, drivers)
     evidence = parts["evidence"].withColumn("fused_probability", F.col("softmax_probability"))
     packets = parts["packets"]
     actions = write_layer(A.action_context(packets, evidence, parts["impacts"], playbook), "actions")
@@ -83,7 +96,14 @@ def refresh_external(bundles: DataFrame, policy: DataFrame, anchors: DataFrame,
                            "assessments")
     supports = Z.support(assessed).join(hypotheses, [*INCIDENT, "hypothesis"]).withColumnRenamed("hypothesis", "driver")
     fused = write_layer(Z.fuse(evidence.drop("fused_probability", "retrieval_support"), supports), "fused")
-    return rebuild(parts, fused, plans, sources.join(assessed, [*INCIDENT, "source_index"]), playbook, feedback, cutoff)
+    retrieved = sources.join(assessed, [*INCIDENT, "source_index"])
+    return {"bundles": rebuild(parts, fused, plans, retrieved, playbook, feedback, cutoff),
+            "plans": plans, "retrieved": retrieved, "fused": fused}
+
+
+def refresh_external(*given: DataFrame | dt.datetime, **more: DataFrame) -> DataFrame:
+    """The new bundles of ``external_layers``."""
+    return external_layers(*given, **more)["bundles"]
 
 
 def refresh_feedback(bundles: DataFrame, feedback: DataFrame, cutoff: dt.datetime) -> DataFrame:
@@ -100,6 +120,6 @@ def refresh_feedback(bundles: DataFrame, feedback: DataFrame, cutoff: dt.datetim
 def refresh_wording(bundles: DataFrame, drivers: DataFrame, updates: DataFrame, playbook: DataFrame, feedback: DataFrame,
                     cutoff: dt.datetime) -> DataFrame:
     """Rebuild actions and narrative from stored evidence; legacy rows get their contract semantics."""
-    parts = layers(bundles)
-    evidence = write_layer(latest_fused(enrich(parts["evidence"], drivers), updates), "evidence")
+    parts = layers(bundles, drivers)
+    evidence = write_layer(latest_fused(parts["evidence"], updates), "evidence")
     return rebuild(parts, evidence, parts["plans"], parts["retrieved"], playbook, feedback, cutoff)

@@ -19,7 +19,9 @@ WRITABLE = {
     "analysis": ("detected_changepoints", "pvm_decomposition", "driver_evidence", "retrieved_context",
                  "orchestrator_updates", "evidence_bundle", "decision_packets", "clarification_requests"),
     "retrieval": ("retrieved_context",),
-    "stage4": ("retrieved_context", "orchestrator_updates", "clarification_requests"),
+    "stage4": ("retrieved_context", "orchestrator_updates", "clarification_requests", "evidence_bundle"),
+    "feedback": ("evidence_bundle",),
+    "wording": ("evidence_bundle",),
     "app": ("user_feedback", "runtime_telemetry", "load_rejects"),
     "loader": ("sales", "marketing", "market_context", "customer_success", "business_calendar", "metric_registry",
                "source_health"),

@@ -111,6 +111,10 @@ CARDS = f"""SELECT {K}, sample_count, {nums('adjustment adjusted_readiness_score
   WHERE window_start = (SELECT MAX(window_start) FROM f_calibrated x WHERE x.kpi = c.kpi AND x.region = c.region)"""
 add("calibration_cards", CARDS)
 add("refresh_feedback", CARDS)
+add("stored_feedback_refresh", CARDS)
+add("stored_feedback_changes", f"SELECT {K} FROM f_calibrated WHERE kpi = 'revenue' AND sample_count > 0")
+add("stored_external_refresh", f"SELECT {K}, component, driver, {nums('fused_probability', 5)} FROM fused")
+add("stored_wording_refresh", f"SELECT {K}, action_level, primary_driver, secondary_driver FROM f_action")
 add("refresh_wording", f"SELECT {K}, action_level, primary_driver, secondary_driver FROM f_action")
 add("refresh_external", f"SELECT {K}, component, driver, {nums('fused_probability', 5)} FROM fused")
 add("bundle_round_trip", f"""
